@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 # Frequent short words of four languages, in lower case.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "with"],
@@ -61,7 +63,9 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
 def histograms(worded: DataFrame) -> DataFrame:
     """Adds _common (count of each vocabulary word, then of the rest) and _chars (count of each class, then of the rest)."""
     listed = F.array(*[F.lit(w) for w in vocabulary()])
-    places = F.filter(F.transform("_words", lambda w: F.array_position(listed, w)), lambda p: p > 0)
+    longest = max(len(w.encode()) for w in vocabulary())
+    short = F.filter("_words", lambda w: F.octet_length(w) <= longest)
+    places = F.filter(F.transform(short, lambda w: F.array_position(listed, w)), lambda p: p > 0)
     placed = worded.withColumn("_places", places)
     each = F.transform(F.sequence(F.lit(1), F.lit(len(vocabulary()))), lambda k: (F.size("_places") - F.size(F.array_remove("_places", k.cast("long")))).cast("long"))
     classes = [_count(F.col("_text"), pattern) for pattern in CLASSES.values()]
@@ -71,15 +75,15 @@ def histograms(worded: DataFrame) -> DataFrame:
     return counted.withColumn("_chars", F.concat("_counted", F.array(rest))).drop("_places", "_counted")
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+def references_of(measured: DataFrame, rules: Rules = Rules(), lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """Word and character distributions of each listed language, summed over all its long enough documents.
 
-    Only sums leave the executors: languages times bins numbers, whatever the input's size.
-    A language without documents has no reference.
+    ``measured`` has the columns of ``histograms``. Only sums leave the executors: languages times bins numbers,
+    whatever the input's size. A language without documents has no reference.
     """
-    if lang not in docs.columns:
+    if lang not in measured.columns:
         return {}
-    used = histograms(with_words(docs.filter(F.col(lang).isin(list(COMMON_WORDS))), text)).filter(F.col("_n_words") >= rules.word_guard)
+    used = measured.filter(F.col(lang).isin(list(COMMON_WORDS)) & (F.col("_n_words") >= rules.word_guard))
     bins = {"_common": len(vocabulary()) + 1, "_chars": len(CLASSES) + 2}
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in bins.items() for i in range(n)]
     found = {}
@@ -89,6 +93,11 @@ def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "te
     return found
 
 
+def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+    """``references_of`` plain documents."""
+    return references_of(histograms(with_words(docs, text)), rules, lang)
+
+
 def jensen_shannon(counts: Column, total: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of a histogram of counts, ``total`` in all, from a reference distribution."""
     q = F.array(*[F.lit(float(x)) for x in reference])
@@ -129,18 +138,24 @@ def repeated_words(worded: DataFrame) -> DataFrame:
     return spots.withColumn("_n_repeat", F.coalesce(total, F.lit(0).cast("long"))).drop("_hashes", "_again", "_low", "_sorted", "_spots")
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), references: dict[str, tuple[list[float], list[float]]] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and ``quality``, a struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, word_distance, char_distance, kept.
-
-    Distances are to the nearest language reference, so a wrong or null ``lang`` does no harm; they are null below the
-    guards, where a histogram is too small to judge, and where there is no reference. ``references`` default to those
-    of ``docs``. A null or empty text has no words and fails the base rule. Equal rows get equal verdicts.
-    """
-    references = language_references(docs, rules, text, lang) if references is None else references
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``docs``, the histograms _common and _chars with _n_words and _n_letters, and the counts _word_chars,
+    _n_symbols, _n_dup_lines and _n_repeat. A null text counts as empty."""
     measured = repeated_words(histograms(with_words(docs, text)))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(SPACE))) > 0)
-    measured = measured.withColumn("_lines", lines).withColumn("_n_letters", F.aggregate("_chars", F.lit(0).cast("long"), lambda a, x: a + x))
+    measured = measured.withColumn("_lines", lines)
+    counts = {
+        "_n_letters": F.aggregate("_chars", F.lit(0).cast("long"), lambda a, x: a + x),
+        "_n_symbols": _count(F.col("_text"), "[#*$%&|<>]"),
+        "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+    }
+    return measured.select(*docs.columns, "_common", "_chars", "_n_words", "_word_chars", "_n_repeat", *[c.alias(n) for n, c in counts.items()])
+
+
+def verdict(measured: DataFrame, rules: Rules, references: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+    """The columns of ``measured`` that don't begin with an underscore, and ``quality``, a struct: n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, word_distance, char_distance, kept."""
+    n, repeat = F.col("_n_words"), F.col("_n_repeat")
 
     def nearest(column: str, total: str, at: int, guard: Column) -> Column:
         if not references:
@@ -148,24 +163,41 @@ def judge(docs: DataFrame, rules: Rules = Rules(), references: dict[str, tuple[l
         each = [jensen_shannon(F.col(column), F.col(total), ref[at]) for _, ref in sorted(references.items())]
         return F.when(guard, F.least(*each) if len(each) > 1 else each[0])
 
-    n, repeat = F.col("_n_words"), F.col("_n_repeat")
     word = nearest("_common", "_n_words", 0, n >= rules.word_guard)
     char = nearest("_chars", "_n_letters", 1, F.col("_word_chars") >= rules.char_guard)
-    measured = measured.withColumn("_word_distance", word).withColumn("_char_distance", char)
+    judged = measured.withColumn("_word_distance", word).withColumn("_char_distance", char)
     failed = (n < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n)
     far = F.coalesce(F.col("_word_distance") > rules.max_word_distance, F.lit(False)) | F.coalesce(F.col("_char_distance") > rules.max_char_distance, F.lit(False))
     quality = F.struct(
         n.alias("n_words"),
         F.col("_word_chars").alias("word_chars"),
-        _count(F.col("_text"), "[#*$%&|<>]").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.col("_n_symbols").alias("n_symbols"),
+        F.col("_n_dup_lines").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
         failed.alias("base_failed"),
         F.col("_word_distance").alias("word_distance"),
         F.col("_char_distance").alias("char_distance"),
         (~failed & ~far).alias("kept"),
     )
-    return measured.select(*docs.columns, quality.alias("quality"))
+    return judged.select(*[c for c in measured.columns if c[0] != "_"], quality.alias("quality"))
+
+
+def judge(docs: DataFrame, rules: Rules = Rules(), references: dict[str, tuple[list[float], list[float]]] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """All columns of ``docs`` and ``quality`` (see ``verdict``).
+
+    Distances are to the nearest language reference, so a wrong or null ``lang`` does no harm; they are null below the
+    guards, where a histogram is too small to judge, and where there is no reference. ``references`` default to those
+    of ``docs``, which then are read twice. A null or empty text has no words and fails the base rule. Equal rows get
+    equal verdicts. Columns of ``docs`` may have any name that does not begin with an underscore.
+    """
+    references = language_references(docs, rules, text, lang) if references is None else references
+    return verdict(measure(docs, text), rules, references)
+
+
+def judge_once(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """``judge`` without the texts: they are read once, and their counts are checkpointed for both steps."""
+    measured = settled(measure(docs, text).drop(text))
+    return verdict(measured, rules, references_of(measured, rules, lang))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .packing import pack_documents
-from .quality import judge
+from .quality import judge_once
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_store import read_tokens, write_tokens
@@ -36,7 +36,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = judge_once(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
