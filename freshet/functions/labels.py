@@ -9,6 +9,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Canonical departments and the spellings that sources use for them.
 DEPARTMENTS: dict[str, list[str]] = {
@@ -78,7 +79,7 @@ def fold_text(value: object) -> str:
     return "".join(ch for ch in text if not unicodedata.combining(ch))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_label_exact(values: pd.Series) -> pd.Series:
     """SF1 for any script; slower than ``fold_label``, which equals it on Latin text."""
     return values.map(fold_text)

@@ -8,6 +8,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labels import strip_space
 
@@ -39,7 +40,7 @@ def safe_path(c: Column, fallback: str = "SIN_DATO") -> Column:
     return F.coalesce(F.nullif(F.btrim(text, F.lit("._ ")), F.lit("")), F.lit(fallback))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatible_form(values: pd.Series) -> pd.Series:
     """NFKC of each value, which Spark lacks; use it before ``safe_path`` where labels hold compatibility forms."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

@@ -58,7 +58,7 @@ def duration_text(seconds: Column) -> Column:
 
 def code_list(c: Column) -> Column:
     """SF15: the different trimmed, non-empty codes of a comma-separated text."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def code_aliases(c: Column) -> Column:

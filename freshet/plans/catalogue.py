@@ -295,7 +295,7 @@ def dataset_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.dataset_table(spark).groupBy("tipo").agg(F.count("*").alias("n"), F.sum("mil_filas").alias("mil_filas"))
 
 
-@query("SELECT r_regionkey, array_to_string(list_transform(string_split(lower(r_name), ' '), x -> upper(x[1]) || x[2:]), ' ') AS title FROM region")
+@query("SELECT r_regionkey, array_to_string(list_transform(string_split(lower(r_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM region")
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "region").select("r_regionkey", paths.title_case(F.col("r_name")).alias("title"))
 
