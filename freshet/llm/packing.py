@@ -17,7 +17,7 @@ from .tokenization import WordPieces, encoder, in_parts
 
 CAPACITY = 2048
 #: Pieces that one task packs on average.
-GROUP_PIECES = 16_384
+GROUP_PIECES = 4096
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
