@@ -14,6 +14,7 @@ from .pii import personal_data
 from .quality import judge_once
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_store import read_tokens, write_tokens
 
 
@@ -92,7 +93,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lines(docs, repeated_lines(docs)).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op5_pii_crf": op5_pii_crf,
     "op7_line_dedup": op7_line_dedup,
