@@ -13,6 +13,8 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Terms, of at most ``TERM_BYTES`` on average, that are sent to every executor; more are joined by shuffling.
 BROADCAST_TERMS = 1_000_000
 TERM_BYTES = 64
+#: Candidates, of a few hundred bytes, that are sent to every executor at most.
+BROADCAST_CANDIDATES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -35,22 +37,20 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(small_side(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def write_postings(docs: DataFrame, terms: DataFrame, path: str, reach: int) -> DataFrame:
-    """Stores and returns the index: term, doc_id, pos (from 0), and the ``reach`` words on either side, nearest first.
+def write_postings(docs: DataFrame, terms: DataFrame, path: str) -> DataFrame:
+    """Stores and returns the index: term, doc_id, pos (the word's number, from 0) of each occurrence of these terms.
 
-    Only occurrences of the given terms are stored, one row each; equal rows once. Files are Parquet, sorted by term.
+    Files are Parquet, sorted by term. Equal rows of documents give equal postings.
     """
-    worded = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-    found = worded.select("doc_id", "w", F.posexplode("w").alias("pos", "term")).join(small_side(terms), "term", "left_semi")
-    left = F.reverse(F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach))))
-    right = F.slice("w", F.col("pos") + 2, F.lit(reach))
-    found.select("term", "doc_id", "pos", left.alias("left"), right.alias("right")).sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(path)
-    return docs.sparkSession.read.parquet(path).distinct()
+    found = docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(small_side(terms), "term", "left_semi")
+    found.select("term", "doc_id", "pos").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
-def probes(items: DataFrame, counts: DataFrame, size: int, terms: int = 3) -> DataFrame:
+def probes(items: DataFrame, counts: DataFrame, size: int, terms: int = 2) -> DataFrame:
     """Where to look for each item's windows: item_id, at (item position of the rarest term), term, need (words of a
-    window), left and right (item words around it, nearest first), and others (the next rarest terms with positions).
+    window), item_left and item_right (item words around it, nearest first), and others (the next rarest terms with
+    their positions).
 
     Windows with a term that no document has can't occur and are left out; windows with the same terms are one probe.
     """
@@ -75,21 +75,31 @@ def _run(a: Column, b: Column) -> Column:
     return F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int")
 
 
-def phrase_matches(index: DataFrame, looked: DataFrame, terms: int = 3) -> DataFrame:
-    """doc_id, item_id, begin, end: document words (end inclusive) that an occurrence of an item's window covers.
-
-    Each probe begins with the postings of its rarest term; the lists of the next rarest ones, shifted by their offsets,
-    are intersected in turn, and what is left is compared word by word with the words stored beside the posting.
-    """
-    found = index.join(looked, "term").select("item_id", "need", "others", "item_left", "item_right", "doc_id", "pos", "left", "right", (F.col("pos") - F.col("at")).alias("shift"))
+def candidates(index: DataFrame, looked: DataFrame, terms: int = 2) -> DataFrame:
+    """The probes' columns with doc_id and pos: postings of each probe's rarest term, intersected in turn with the lists
+    of its next rarest ones, shifted by their offsets."""
+    found = index.join(looked, "term").withColumn("shift", F.col("pos") - F.col("at"))
     lists = index.select(F.col("term").alias("_term"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"))
     for k in range(terms - 1):
         other = F.get("others", F.lit(k))
-        more = found.filter(F.size("others") > k)
-        met = more.withColumn("_t", other["term"]).withColumn("_p", F.col("shift") + other["at"])
+        met = found.filter(F.size("others") > k).withColumn("_t", other["term"]).withColumn("_p", F.col("shift") + other["at"])
         met = met.join(lists, (F.col("_t") == F.col("_term")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_p") == F.col("_pos")), "left_semi").drop("_t", "_p")
-        found = met if k == 0 and terms == 2 else met.union(found.filter(F.size("others") <= k))
-    spans = found.withColumn("_l", _run(F.col("left"), F.col("item_left"))).withColumn("_r", _run(F.col("right"), F.col("item_right")))
+        found = met.union(found.filter(F.size("others") <= k))
+    return found.select("doc_id", "pos", "item_id", "need", "item_left", "item_right").distinct()
+
+
+def phrase_matches(docs: DataFrame, index: DataFrame, looked: DataFrame, size: int, terms: int = 2) -> DataFrame:
+    """doc_id, item_id, begin, end: document words (end inclusive) that an occurrence of an item's window covers.
+
+    Each candidate is compared with the document, word by word in both directions from the rarest term. Candidates move
+    to the documents where they are few, else both are shuffled; documents without any are not split again.
+    """
+    found = settled(candidates(index, looked, terms).withColumnRenamed("doc_id", "_doc"))
+    side = F.broadcast(found) if found.count() <= BROADCAST_CANDIDATES else found
+    reach = size - 1
+    own = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("w", words_of(F.col("text")))
+    left = F.reverse(F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach))))
+    spans = own.withColumn("_l", _run(left, F.col("item_left"))).withColumn("_r", _run(F.slice("w", F.col("pos") + 2, F.lit(reach)), F.col("item_right")))
     return spans.filter(F.col("_l") + 1 + F.col("_r") >= F.col("need")).select("doc_id", "item_id", (F.col("pos") - F.col("_l")).alias("begin"), (F.col("pos") + F.col("_r")).alias("end"))
 
 
@@ -106,11 +116,12 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFram
     return a.join(b, near).select("query_id", "doc_id", "pos_a", "pos_b")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, terms: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, terms: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, item_ids (sorted as text), n_hit of each document with an occurrence of an item's window of ``size`` words.
 
     An item of fewer words is one window; one without words, or null, has none. Rows that share a doc_id count as one
-    document whose hits are united. ``docs`` is read twice: for the test terms' counts and for their postings.
+    document whose hits are united. ``docs`` is read three times: for the test terms' counts, for
+    their postings, and where candidates are.
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     tested = items.select("item_id", "text")
@@ -118,8 +129,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, terms: int
     counts = settled(term_counts(texts, vocabulary))
     looked = settled(probes(tested, counts, size, terms))
     wanted = settled(looked.select("term").union(looked.select(F.explode("others.term"))).distinct())
-    index = write_postings(texts, wanted, scratch(docs.sparkSession, "postings"), size - 1)
-    hits = phrase_matches(index, looked, terms).distinct()
+    index = write_postings(texts, wanted, scratch(docs.sparkSession, "postings"))
+    hits = phrase_matches(texts, index, looked, size, terms).distinct()
     spots = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("begin", "end")), lambda s: F.sequence(s["begin"], s["end"]))))
     return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"), F.size(spots).cast("long").alias("n_hit"))
 
