@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,27 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside hand at most so many rows at once to Python, which bounds the memory that texts take there."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Rows that a table sent to every executor has at most; beyond it the same join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (checkpointed, rows of at most some tens of bytes), marked for broadcast where it has few rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """``df[name]``, or a null of this type where the table has no such column."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -10,10 +10,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import sent_if_small, settled
 from .components import connected
 from .tokenization import in_parts
 
@@ -49,8 +49,9 @@ def majority_bits(hashes: np.ndarray, begins: np.ndarray, counts: np.ndarray) ->
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row; null and empty texts have 0. Texts don't move."""
+def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", second: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of each row, and with ``second`` more, a fingerprint from the same
+    shingles' hashes after mixing; null and empty texts have 0. Texts don't move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,11 +59,15 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_column: str
             for begin, end in in_parts(texts):
                 each = [np.array(shingle_hashes(t, width, seed), np.uint64) for t in texts[begin:end]]
                 counts = np.array([len(h) for h in each])
-                found = majority_bits(np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                hashes, begins = np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(counts) - counts
+                found = {"fp": majority_bits(hashes, begins, counts)}
+                if second:
+                    mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                    found["more"] = majority_bits(mixed ^ (mixed >> np.uint64(29)), begins, counts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), *[pa.array(f.view(np.int64)) for f in found.values()]], ["doc_id", *found])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", more long" * second)
 
 
 @dataclass(frozen=True)
@@ -164,38 +169,46 @@ def _star(nodes: DataFrame, radius: int) -> DataFrame:
     return ends.union(more).filter("a != b")
 
 
-def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKET_PAIRS, second: int | None = None) -> DataFrame:
     """a, b: fingerprints of different ``component`` within ``distance``, by probing each partition and comparing.
 
-    ``nodes`` has fp and component. Where more than ``bucket_pairs`` fingerprints share a partition's bits, these are
-    not paired with each other but linked through common words (``_star``), which loses no connection.
+    ``nodes`` has fp and component, and with ``second`` more; then a pair's second fingerprints differ by at most as many
+    bits. Where more than ``bucket_pairs`` fingerprints share a partition's bits, these are not paired with each other
+    but linked through common words (``_star``), which loses no connection; beyond a distance of 4 such words are too
+    many, and all pairs of a partition's value are compared.
     """
     masks = [F.lit(_signed(g)).cast("long") for g in plan.parts]
     used = [i for i, t in enumerate(plan.thresholds) if t >= 0]
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(masks[i]).alias("key")) for i in used])
-    index = nodes.select("fp", "component", F.explode(keys).alias("_k")).select("fp", "component", "_k.part", "_k.key")
-    crowded = settled(index.groupBy("part", "key").count().filter(F.col("count") > bucket_pairs).select("part", "key"))
-    some = not crowded.isEmpty()
+    nodes, some = nodes.withColumn("crowded", F.lit(False)), False
+    if distance <= 4 and second is None:
+        index = nodes.select("fp", F.explode(keys).alias("_k")).select("fp", "_k.part", "_k.key")
+        crowded = settled(index.groupBy("part", "key").count().filter(F.col("count") > bucket_pairs).select("part", "key"))
+        some = not crowded.isEmpty()
     if some:
         many = index.join(crowded, ["part", "key"], "left_semi").select("fp").distinct().withColumn("_crowded", F.lit(True))
-        nodes = settled(nodes.join(many, "fp", "left").withColumn("crowded", F.coalesce("_crowded", F.lit(False))).drop("_crowded"))
-    else:
-        nodes = nodes.withColumn("crowded", F.lit(False))
-    index = nodes.select("fp", "component", "crowded", F.explode(keys).alias("_k")).select("_k.part", "_k.key", F.col("fp").alias("b"), F.col("component").alias("b_component"), F.col("crowded").alias("b_crowded"))
+        nodes = settled(nodes.drop("crowded").join(many, "fp", "left").withColumn("crowded", F.coalesce("_crowded", F.lit(False))).drop("_crowded"))
+    own = [c for c in ("component", "crowded", "more") if c in nodes.columns]
+    side = lambda name: [F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in own]]
+    index = nodes.select(*side("b"), F.explode(keys).alias("_k")).select("*", "_k.part", "_k.key").drop("_k")
     probes = None
     for i in used:
-        near = nodes.select(F.lit(i).alias("part"), F.col("fp").alias("a"), F.col("component").alias("a_component"), F.col("crowded").alias("a_crowded"), F.explode(_flips(plan.parts[i], plan.thresholds[i])).alias("_flip"))
+        near = nodes.select(F.lit(i).alias("part"), *side("a"), F.explode(_flips(plan.parts[i], plan.thresholds[i])).alias("_flip"))
         near = near.withColumn("key", F.col("a").bitwiseAND(masks[i]).bitwiseXOR(F.col("_flip"))).drop("_flip")
         probes = near if probes is None else probes.union(near)
 
     def met(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
         on = (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a_component"] != right["b_component"]) & (F.bit_count(left["a"].bitwiseXOR(right["b"])) <= distance)
+        if second is not None:
+            on = on & (F.bit_count(left["a_more"].bitwiseXOR(right["b_more"])) <= second)
         return left.join(right, on & (left["a"] < right["b"]) if once else on).select("a", "b")
 
     if not some:
         return met(probes, index, True)
     pairs = met(probes.filter(~F.col("a_crowded")), index, False).union(met(probes.filter("a_crowded"), index.filter(~F.col("b_crowded")), False))
-    return pairs.union(_star(nodes.filter("crowded"), -(-distance // 2))) if distance % 2 == 0 else pairs.union(_star(nodes.filter("crowded"), distance // 2)).union(_odd(nodes.filter("crowded"), distance))
+    crowd = nodes.filter("crowded")
+    linked = pairs.union(_star(crowd, distance // 2))
+    return linked if distance % 2 == 0 else linked.union(_odd(crowd, distance))
 
 
 def _odd(nodes: DataFrame, distance: int) -> DataFrame:
@@ -207,25 +220,48 @@ def _odd(nodes: DataFrame, distance: int) -> DataFrame:
     return far.join(least, "word").select("a", "b").union(near.join(least, "word").select("a", F.col("fp").alias("b"))).filter("a != b")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", bucket_pairs: int = BUCKET_PAIRS, second: int | None = None) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints within ``distance`` bits.
 
-    Equal fingerprints are one node. Those within two bits are connected first, through words that they share; the
-    search then compares only fingerprints of different components, so a large group of near copies costs what its
-    members cost and not its pairs. Null doc_ids take part but name a component only where it has no other.
+    Equal fingerprints are one node. Those within two bits are connected first, through words that they share, then
+    those within four, then all; each search compares only fingerprints of different components, so a large group of
+    near copies costs what its members cost and not its pairs. ``second`` bounds the differing bits of a second
+    fingerprint, for distances at which unrelated texts would meet by chance; it holds for links found by searching.
+    Null doc_ids take part but name a component only where it has no other.
     """
-    found = settled(fingerprints(docs, width, seed, id_column, text_column))
-    nodes = settled(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = settled(fingerprints(docs, width, seed, id_column, text_column, second is not None))
+    more = [F.min_by("more", "doc_id").alias("more")] if second is not None else []
+    nodes = settled(found.groupBy("fp").agg(F.min("doc_id").alias("first"), *more))
     close = connected(_star(nodes.select("fp"), 1)) if distance >= 2 else connected(nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
     labelled = settled(nodes.join(close.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     n, both = bit_counts(nodes)
-    if n:
-        pairs = links(labelled.select("fp", "component"), distance, choose_plan(n, both, distance), bucket_pairs)
+    for step in ([4] if distance > 4 else []) + [distance]:
+        if not n:
+            break
+        pairs = links(labelled.drop("first"), step, choose_plan(n, both, step), bucket_pairs, second)
         of = [labelled.select(F.col("fp").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
         between = pairs.join(of[0], "a").join(of[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
         joined = connected(between).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-        labelled = labelled.join(joined, "component", "left").withColumn("component", F.coalesce("_joined", "component")).drop("_joined")
-    labelled = settled(labelled)
+        labelled = settled(labelled.join(joined, "component", "left").withColumn("component", F.coalesce("_joined", "component")).drop("_joined"))
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = labelled.select("fp", "component").join(named, "component").select("fp", "component_id")
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 8, width: int = 5, second: int = 14, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate group, the one with the smallest doc_id of each.
+
+    By default at least seven of eight bits agree, over shingles of five words. Documents without words are one group.
+    Of rows that share a doc_id the one with the smallest text stays.
+    """
+    found = settled(near_duplicates(docs, distance, width, id_column=id_column, text_column=text_column, second=second).select("doc_id", "component_id"))
+    stands = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = settled(found.filter(~stands).select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(sent_if_small(gone), F.col(id_column).eqNullSafe(F.col("_gone")), "left_anti")
+    again = settled(found.filter(stands).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return kept
+    twice = F.col(id_column).eqNullSafe(F.col("_again"))
+    order = Window.partitionBy(id_column).orderBy(text_column, F.to_json(F.struct(*docs.columns)))
+    once = kept.join(again, twice, "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    return kept.join(again, twice, "left_anti").unionByName(once)
