@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import BROADCAST_ROWS, sent_if_small, settled
 
 SPACE = " \t\n\x0b\f\r"
-#: Rows that a table sent to every executor has at most; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (checkpointed, rows of at most some tens of bytes), marked for broadcast where it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
 
 
 def numbered_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -28,46 +21,71 @@ def identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def half_keys(line: Column) -> Column:
-    """Four hashes: of the first and the last half, for this length as the longer and as the shorter one of a pair.
+def half_keys(line: Column) -> list[Column]:
+    """Hashes of almost the first and the last half, for the line's length class; again for the next class where a line
+    with one character more lies in it, else null.
 
-    One edit leaves the first or the last half of the longer of two lines alone, so lines an edit apart have a key in
-    common. Lines without one need no variants; the test costs four hashes where the variants cost one for each character.
+    One edit leaves the first or the last half of both lines alone, so lines an edit apart have a key in common. Lines
+    without one need no variants; this test costs a few hashes where the variants cost one for each character.
     """
     n = F.length(line)
     keys = []
-    for longer in (n, n + 1):
-        half = F.floor((longer - 1) / 2).cast("int")
-        keys += [F.xxhash64(longer, F.lit(0), F.substring(line, F.lit(1), half)), F.xxhash64(longer, F.lit(1), F.substring(line, n - half + 1, half))]
-    return F.array(*keys)
+    for size in (n, n + 1):
+        kind = F.floor(size / 4).cast("int")
+        half = 2 * kind - 1
+        pair = [F.xxhash64(kind, F.lit(0), F.substring(line, F.lit(1), half)), F.xxhash64(kind, F.lit(1), F.substring(line, n - half + 1, half))]
+        keys += pair if size is n else [F.when(size % 4 == 0, k) for k in pair]
+    return [k.alias(f"k{i}") for i, k in enumerate(keys)]
+
+
+def segment_neighbours(contents: DataFrame, segments: int = 16) -> DataFrame:
+    """The contents (first, line) that equal another one outside a segment of their characters.
+
+    For the longer line's length, the line itself or one character more, all but each of ``segments`` stretches is
+    hashed: the part before it from the left and the part behind it from the right. One edit lies in one segment, so
+    lines an edit apart have such a hash in common, and few others do.
+    """
+    longer = contents.select("first", "line", F.explode(F.array(F.length("line"), F.length("line") + 1)).alias("longer"))
+    wide = F.ceil(F.col("longer") / segments).cast("int")
+    cuts = longer.withColumn("wide", wide).withColumn("segment", F.explode(F.sequence(F.lit(0), F.ceil(F.col("longer") / F.col("wide")).cast("int") - 1)))
+    before = F.col("segment") * F.col("wide")
+    behind = F.greatest(F.col("longer") - before - F.col("wide"), F.lit(0))
+    outside = F.xxhash64("longer", "segment", F.substring("line", F.lit(1), before), F.substring("line", F.length("line") - behind + 1, behind))
+    keyed = cuts.select("first", outside.alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a != b").select("key")
+    return contents.join(keyed.join(shared, "key", "left_semi").select("first").distinct(), "first")
 
 
 def deletions(contents: DataFrame) -> DataFrame:
-    """The deletion neighbourhood: content's columns, spot (the deleted character, from 1; 0 for the line itself) and variant."""
-    spots = contents.withColumn("spot", F.explode(F.sequence(F.lit(0), F.length("line"))))
+    """The deletion neighbourhood of each content (first, line): doc_id and line_no of ``first``, spot (the deleted
+    character, from 1; 0 for the line itself), and two hashes of the variant, v1 and v2."""
+    spots = contents.select("first", "line", F.explode(F.sequence(F.lit(0), F.length("line"))).alias("spot"))
     cut = F.concat(F.substring("line", F.lit(1), F.col("spot") - 1), F.substring("line", F.col("spot") + 1, F.length("line")))
     text = F.when(F.col("spot") == 0, F.col("line")).otherwise(cut)
-    return spots.withColumn("v1", F.xxhash64(text)).withColumn("v2", F.xxhash64(F.lit(1), text))
+    return spots.select(F.xxhash64(text).alias("v1"), F.xxhash64(F.lit(1), text).alias("v2"), "spot", "first.doc_id", "first.line_no")
 
 
 def earlier_neighbours(contents: DataFrame) -> DataFrame:
-    """h1, h2 of each content (h1, h2, line, first) with an earlier one a single edit away.
+    """first of each content (first, line) with an earlier one a single edit away.
 
     Contents that agree after deletion at the same spot differ by a substitution there, all of them from each other, so
-    each is compared with the earliest only. One that equals another's deletion differs by an insertion. So every
-    variant joins one row, not the others of its group, and edit distances are verified on the lines.
+    each is compared with the earliest only. One that equals another's deletion differs by an insertion. So a variant
+    meets one row, not all others of its group; edit distances are verified on the lines. A variant has at most as many
+    contents as ways to insert a character.
     """
-    variants = settled(deletions(contents))
-    cut = variants.filter("spot > 0")
-    key = ["v1", "v2", "spot"]
-    least = cut.groupBy(*key).agg(F.min(F.struct("first", "line")).alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    changed = cut.join(least, key).select("h1", "h2", "line", "first", F.col("best.first").alias("other_first"), F.col("best.line").alias("other"))
-    full = variants.filter("spot = 0").select("v1", "v2", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("short"), F.col("first").alias("short_first"))
-    inserted = cut.join(full, ["v1", "v2"])
-    longer = inserted.select("h1", "h2", "line", "first", F.col("short_first").alias("other_first"), F.col("short").alias("other"))
-    shorter = inserted.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("short").alias("line"), F.col("short_first").alias("first"), F.col("first").alias("other_first"), F.col("line").alias("other"))
-    met = changed.union(longer).union(shorter).filter("other_first < first")
-    return met.filter((F.levenshtein("line", "other", 1) >= 0) & (F.levenshtein("line", "other", 1) <= 1)).select("h1", "h2").distinct()
+    place = F.struct("doc_id", "line_no")
+    dealt = deletions(contents).repartition("v1", "v2")
+    shared = dealt.groupBy("v1", "v2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("v1", "v2")
+    variants = settled(dealt.join(shared, ["v1", "v2"], "left_semi").withColumn("first", place).drop("doc_id", "line_no"))
+    cut, full = variants.filter("spot > 0"), variants.filter("spot = 0")
+    least = cut.groupBy("v1", "v2", "spot").agg(F.min("first").alias("other"))
+    changed = cut.join(least, ["v1", "v2", "spot"]).select("first", "other")
+    inserted = cut.join(full.select("v1", "v2", F.col("first").alias("other")), ["v1", "v2"]).select("first", "other")
+    pairs = changed.union(inserted).union(inserted.select("other", "first")).toDF("first", "other").filter("other < first").distinct()
+    line_of = lambda c, name: contents.select(F.col("first").alias(c), F.col("line").alias(name))
+    met = pairs.join(line_of("first", "line"), "first").join(line_of("other", "_line"), "other")
+    near = F.levenshtein("line", "_line", 1)
+    return met.filter((near >= 0) & (near <= 1)).select("first").distinct()
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -75,28 +93,26 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, id_colu
 
     A line goes where an equal line, or one within ``edits`` (0 or 1) insertions, deletions or substitutions, stands
     earlier, by doc_id and line number, in any document; all lines are judged on the input. White space around lines
-    doesn't count, and lines of fewer than ``min_chars`` characters stay. Rows that share a doc_id are one document.
-    Null doc_ids come first. Texts are never shuffled while the tables of repeated lines are within ``BROADCAST_ROWS``.
+    doesn't count, and lines of fewer than ``min_chars`` (8 at least) characters stay. Rows that share a doc_id are one
+    document. Null doc_ids come first. Texts are never shuffled while the tables of repeated lines are within
+    ``BROADCAST_ROWS``.
     """
-    if edits not in (0, 1):
-        raise ValueError("edits is 0 or 1")
+    if edits not in (0, 1) or min_chars < 8:
+        raise ValueError("edits is 0 or 1, min_chars 8 or more")
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     lines = numbered_lines(texts, min_chars)
-    marked = settled(lines.select("doc_id", "line_no", *identity(F.col("line")), *([half_keys(F.col("line")).alias("keys")] if edits else [])))
+    marked = settled(lines.select("doc_id", "line_no", *identity(F.col("line")), *(half_keys(F.col("line")) if edits else [])))
     place = F.struct("doc_id", "line_no")
-    extra = [F.any_value("keys").alias("keys")] if edits else []
-    contents = settled(marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), *extra))
-    late = None
+    contents = settled(marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     if edits:
-        keyed = contents.select("h1", "h2", F.explode("keys").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        near = settled(keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct().join(contents.select("h1", "h2", "first"), ["h1", "h2"]))
-        wanted = near.select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-        named = lines.select("doc_id", "line_no", "line", *identity(F.col("line")))
-        found = named.join(sent_if_small(wanted).drop("doc_id", "line_no"), ["h1", "h2"])
-        with_text = found.filter(place == F.col("first")).select("h1", "h2", "first", "line").distinct()
-        late = earlier_neighbours(with_text).withColumn("late", F.lit(True))
-        contents = contents.join(late, ["h1", "h2"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        keyed = marked.select("h1", "h2", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("key"))
+        shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key")
+        near = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
+        wanted = settled(near.join(contents, ["h1", "h2"]).select("h1", "h2", "first"))
+        found = lines.select("doc_id", "line_no", "line", *identity(F.col("line"))).join(sent_if_small(wanted, BROADCAST_ROWS), ["h1", "h2"])
+        with_text = settled(found.filter(place == F.col("first")).select("first", "line").distinct().repartition("first"))
+        late = settled(earlier_neighbours(settled(segment_neighbours(with_text).repartition("first"))).withColumn("late", F.lit(True)))
+        contents = contents.join(late, "first", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     else:
         contents = contents.withColumn("late", F.lit(False))
     touched = contents.filter("late or n > 1").select("h1", "h2", "first", "late")
@@ -106,22 +122,23 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, id_colu
 
 
 def cut_lines(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with the numbered lines cut out of their texts, and the columns lines (of the whole text, none for null)
-    and removed (the numbers that were cut). Null texts, untouched rows and other columns stay as they are."""
+    """_row (a struct of the columns of ``docs``), text without the numbered lines, lines (of the whole text, none for null)
+    and removed (the numbers that were cut). Null texts and untouched rows stay as they are."""
     listed = settled(gone.select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_removed")))
     numbers = listed.agg(F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()[0]
     side = F.broadcast(listed) if numbers <= BROADCAST_ROWS else listed
-    lines = F.when(F.col(text_column).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text_column).cast("string"), "\n"))
-    joined = docs.withColumn("_lines", lines).join(side, F.col(id_column).eqNullSafe(F.col("_gone_id")), "left")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    lines = F.when(F.col("_text").isNull(), F.array().cast("array<string>")).otherwise(F.split("_text", "\n"))
+    joined = given.withColumn("lines", lines).join(side, F.col("_id").eqNullSafe(F.col("_gone_id")), "left")
     # a document that shares its id with another has only the numbers that its own text has
-    own = F.filter(F.coalesce("_removed", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
-    joined = joined.withColumn("_own", own)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_own"))
-    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    text = F.when(F.size("_own") > 0, kept).otherwise(F.col(text_column))
-    return joined.select(*[text.alias(text_column) if c == text_column else F.col(c) for c in docs.columns], F.col("_lines").alias("lines"), F.col("_own").alias("removed"))
+    own = F.filter(F.coalesce("_removed", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
+    joined = joined.withColumn("removed", own)
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    return joined.select("_row", F.when(F.size("removed") > 0, kept).otherwise(F.col("_text")).alias("text"), "lines", "removed")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without the lines that ``repeated_lines`` finds. Every row stays, if need be with an empty text."""
-    return cut_lines(docs, repeated_lines(docs, min_chars, edits, id_column, text_column), id_column, text_column).drop("lines", "removed")
+    cut = cut_lines(docs, repeated_lines(docs, min_chars, edits, id_column, text_column), id_column, text_column)
+    return cut.select(*[(F.col("text") if c == text_column else F.col("_row").getField(c)).alias(c) for c in docs.columns])
