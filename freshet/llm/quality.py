@@ -75,19 +75,17 @@ def histograms(worded: DataFrame) -> DataFrame:
     return counted.withColumn("_chars", F.concat("_counted", F.array(rest))).drop("_places", "_counted")
 
 
-def references_of(measured: DataFrame, rules: Rules = Rules(), lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+def references_of(measured: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[float], list[float]]]:
     """Word and character distributions of each listed language, summed over all its long enough documents.
 
-    ``measured`` has the columns of ``histograms``. Only sums leave the executors: languages times bins numbers,
+    ``measured`` has _lang and the columns of ``histograms``. Only sums leave the executors: languages times bins numbers,
     whatever the input's size. A language without documents has no reference.
     """
-    if lang not in measured.columns:
-        return {}
-    used = measured.filter(F.col(lang).isin(list(COMMON_WORDS)) & (F.col("_n_words") >= rules.word_guard))
+    used = measured.filter(F.col("_lang").isin(list(COMMON_WORDS)) & (F.col("_n_words") >= rules.word_guard))
     bins = {"_common": len(vocabulary()) + 1, "_chars": len(CLASSES) + 2}
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in bins.items() for i in range(n)]
     found = {}
-    for row in used.groupBy(F.col(lang).alias("_lang")).agg(*sums).collect():
+    for row in used.groupBy("_lang").agg(*sums).collect():
         both = tuple([row[f"{c}{i}"] / max(1, sum(row[f"{c}{j}"] for j in range(n))) for i in range(n)] for c, n in bins.items())
         found[row["_lang"]] = both
     return found
@@ -95,7 +93,9 @@ def references_of(measured: DataFrame, rules: Rules = Rules(), lang: str = "lang
 
 def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """``references_of`` plain documents."""
-    return references_of(histograms(with_words(docs, text)), rules, lang)
+    if lang not in docs.columns:
+        return {}
+    return references_of(histograms(with_words(docs.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_given")), "_given")), rules)
 
 
 def jensen_shannon(counts: Column, total: Column, reference: list[float]) -> Column:
@@ -138,10 +138,12 @@ def repeated_words(worded: DataFrame) -> DataFrame:
     return spots.withColumn("_n_repeat", F.coalesce(total, F.lit(0).cast("long"))).drop("_hashes", "_again", "_low", "_sorted", "_spots")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, the histograms _common and _chars with _n_words and _n_letters, and the counts _word_chars,
-    _n_symbols, _n_dup_lines and _n_repeat. A null text counts as empty."""
-    measured = repeated_words(histograms(with_words(docs, text)))
+def measure(docs: DataFrame, text: str = "text", lang: str = "lang", kept: list[str] | None = None) -> DataFrame:
+    """_row (the columns ``kept`` of ``docs``, by default all), _lang, the histograms _common and _chars with _n_words and
+    _n_letters, and the counts _word_chars, _n_symbols, _n_dup_lines and _n_repeat. A null text counts as empty."""
+    language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if kept is None else kept)]).alias("_row"), language.alias("_lang"), F.col(text).alias("_given"))
+    measured = repeated_words(histograms(with_words(given, "_given")))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(SPACE))) > 0)
     measured = measured.withColumn("_lines", lines)
     counts = {
@@ -149,12 +151,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "_n_symbols": _count(F.col("_text"), "[#*$%&|<>]"),
         "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     }
-    return measured.select(*docs.columns, "_common", "_chars", "_n_words", "_word_chars", "_n_repeat", *[c.alias(n) for n, c in counts.items()])
+    return measured.select("_row", "_lang", "_common", "_chars", "_n_words", "_word_chars", "_n_repeat", *[c.alias(n) for n, c in counts.items()])
 
 
 def verdict(measured: DataFrame, rules: Rules, references: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """The columns of ``measured`` that don't begin with an underscore, and ``quality``, a struct: n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed, word_distance, char_distance, kept."""
+    """_row, and quality, a struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    word_distance, char_distance, kept."""
     n, repeat = F.col("_n_words"), F.col("_n_repeat")
 
     def nearest(column: str, total: str, at: int, guard: Column) -> Column:
@@ -179,27 +181,27 @@ def verdict(measured: DataFrame, rules: Rules, references: dict[str, tuple[list[
         F.col("_char_distance").alias("char_distance"),
         (~failed & ~far).alias("kept"),
     )
-    return judged.select(*[c for c in measured.columns if c[0] != "_"], quality.alias("quality"))
+    return judged.select("_row", quality.alias("quality"))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), references: dict[str, tuple[list[float], list[float]]] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and ``quality`` (see ``verdict``).
+    """_row, a struct of all columns of ``docs``, whatever their names, and ``quality`` (see ``verdict``).
 
     Distances are to the nearest language reference, so a wrong or null ``lang`` does no harm; they are null below the
     guards, where a histogram is too small to judge, and where there is no reference. ``references`` default to those
     of ``docs``, which then are read twice. A null or empty text has no words and fails the base rule. Equal rows get
-    equal verdicts. Columns of ``docs`` may have any name that does not begin with an underscore.
+    equal verdicts.
     """
     references = language_references(docs, rules, text, lang) if references is None else references
-    return verdict(measure(docs, text), rules, references)
+    return verdict(measure(docs, text, lang), rules, references)
 
 
 def judge_once(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """``judge`` without the texts: they are read once, and their counts are checkpointed for both steps."""
-    measured = settled(measure(docs, text).drop(text))
-    return verdict(measured, rules, references_of(measured, rules, lang))
+    """``judge`` without the texts in _row: they are read once, and their counts are checkpointed for both steps."""
+    measured = settled(measure(docs, text, lang, [c for c in docs.columns if c != text]))
+    return verdict(measured, rules, references_of(measured, rules))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
-    return judge(docs, rules).filter("quality.kept").drop("quality")
+    return judge(docs, rules).filter("quality.kept").select("_row.*")

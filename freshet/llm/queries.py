@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .chat_format import format_preferences, last_reply_pairs
 from .common import scratch, table
 from .decontaminate import contamination, words_of
@@ -42,7 +43,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_once(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+    return judged.select("_row.doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,7 @@ def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut_lines(docs, repeated_lines(docs)).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return cut_lines(docs, repeated_lines(docs)).select("_row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +110,4 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {"op2_chat_format": OP2_SQL}
+SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, **oracle.SQL}
