@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 def month_blocks(spark: SparkSession, start: str, end: str) -> DataFrame:
     """SF7: lo, hi of each calendar month, clipped to ``[start, end)``."""
     first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
-    months = F.sequence(F.trunc(first, "MM"), F.date_sub(last, 1), F.expr("interval 1 month"))
-    days = spark.range(1).filter(first < last).select(F.explode(months).alias("m"))
+    # an empty range has its own month here, which the filter behind removes
+    until = F.greatest(F.date_sub(last, 1), F.trunc(first, "MM"))
+    days = spark.range(1).select(F.explode(F.sequence(F.trunc(first, "MM"), until, F.expr("interval 1 month"))).alias("m")).filter(first < last)
     return days.select(F.greatest("m", first).alias("lo"), F.least(F.add_months("m", 1), last).alias("hi"))
 
 
