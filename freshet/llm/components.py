@@ -9,28 +9,31 @@ from .common import settled
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of every node on an edge with two ends, from columns a and b.
+    """node, component (the smallest node reachable) of every node on an edge with two ends, from long columns a and b.
 
-    Each round maps every node to its smallest neighbour or itself and contracts the edges, until none is left. Minima
-    are aggregated before they move, so hubs do no harm, and every round ends in reliable checkpoints. Edges with a
-    null end and loops are ignored.
+    Each round maps every node to the first of its neighbours and itself in a fixed random order (a 64-bit hash, which is
+    one to one on longs) and contracts the edges, until none is left; in random order chains shrink by a constant share a
+    round and hubs at once. Minima are aggregated before they move, and every round ends in reliable checkpoints. Edges
+    with a null end and loops are ignored.
     """
 
-    def ordered(a, b) -> list:
+    def ordered(a: str, b: str) -> list:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    left = settled(edges.select(*ordered(F.col("a"), F.col("b")), (F.col("a") != F.col("b")).alias("two")).filter("two").select("a", "b").distinct())
-    labels = left.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    left = settled(edges.filter("a != b").select(*ordered("a", "b")).distinct())
+    labels = left.select(F.col("a").alias("node"), F.col("a").alias("head")).limit(0)
     first = True
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
-        parents = settled(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("parent")))
+        nearest = both.groupBy("node").agg(F.min_by("near", F.xxhash64("near")).alias("near"))
+        parents = settled(nearest.select("node", F.when(F.xxhash64("near") < F.xxhash64("node"), F.col("near")).otherwise(F.col("node")).alias("parent")))
         if first:
-            labels, first = parents.withColumnRenamed("parent", "component"), False
+            labels, first = parents.withColumnRenamed("parent", "head"), False
         else:
-            moved = parents.select(F.col("node").alias("component"), "parent")
-            labels = settled(labels.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+            moved = parents.select(F.col("node").alias("head"), "parent")
+            labels = settled(labels.join(moved, "head", "left").select("node", F.coalesce("parent", "head").alias("head")))
         ends = [parents.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}")) for c in "ab"]
-        met = left.join(ends[0], "a").join(ends[1], "b")
-        left = settled(met.select(*ordered(F.col("_a"), F.col("_b"))).filter("a != b").distinct())
-    return labels
+        met = left.join(ends[0], "a").join(ends[1], "b").filter("_a != _b")
+        left = settled(met.select(*ordered("_a", "_b")).distinct())
+    least = labels.groupBy("head").agg(F.min("node").alias("component"))
+    return labels.join(least, "head").select("node", "component")
