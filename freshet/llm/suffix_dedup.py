@@ -20,13 +20,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, settled
+from .common import arrow_batches, scratch, settled
 
 GRAM = 16
 #: Bytes of text whose anchors one bucket holds on average, and buckets at least.
-BUCKET_BYTES, LEAST_BUCKETS = 32_000_000, 64
+BUCKET_BYTES, LEAST_BUCKETS = 24_000_000, 16
 #: Bytes of text that are hashed at once; positions within have 23 bits.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 600_000
 _PLACE = np.uint64((1 << 23) - 1)
 #: Contexts of a collection, unless one anchor has more; and bytes of its columns beyond which they are kept in files.
 COLLECTION, MEMORY_BYTES = 16_384, 256_000_000
@@ -102,11 +102,15 @@ def context_anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, leng
     return {"gram": gram[at], "text": whole, "left": sides[0], "right": sides[1], "at": first, "count": last - first + 1}
 
 
+#: Columns of a context in a bucket's rows. place: where its strings begin in the block's part of the document, times
+#: 128, and how many there are, less 1.
 _FIELDS = [("gram", np.uint32), ("text", np.uint64), ("place", np.uint32), ("left", np.uint16), ("right", np.uint16)]
+_SIZE = sum(np.dtype(kind).itemsize for _, kind in _FIELDS)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of bucket, ids, marks, begins (tables of the documents) and data (contexts, field after field)."""
+    """Rows of bucket, ids, marks, shifts and counts (of the documents with contexts here, and of how many each has; no
+    shifts: all 0) and data (the contexts, column after column)."""
 
     def packed(parts: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         ids, marks, shifts = (np.array(x, np.int64) for x in list(zip(*parts, strict=True))[:3])
@@ -114,16 +118,26 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
         ends = np.cumsum(sizes)
         begins = ends - sizes
         found = context_anchors(np.frombuffer(b"".join([p[3] for p in parts]), np.uint8), begins, ends, length)
+        of = np.searchsorted(begins, found["at"], side="right") - 1
         # the high bits choose the bucket, the rest tells grams of a bucket apart
         bucket = ((found["gram"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        place = (found["at"].astype(np.uint32) << np.uint32(7)) | (found["count"] - 1).astype(np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        columns = [(place if name == "place" else (found[name] >> np.uint64(48) if kind is np.uint16 else found[name]).astype(kind))[order] for name, kind in _FIELDS]
-        used = np.flatnonzero(np.diff(cuts))
-        blobs = [b"".join([c[cuts[k] : cuts[k + 1]].tobytes() for c in columns]) for k in used]
-        tables = [t.tobytes() for t in (ids, marks, begins, shifts)]
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array([t] * len(used), pa.binary()) for t in tables], pa.array(blobs, pa.binary())], ["bucket", "ids", "marks", "begins", "shifts", "data"])
+        order = np.argsort(bucket, kind="stable")  # contexts come by document, so they stay so in each bucket
+        bucket, of = bucket[order], of[order]
+        found = {name: x[order] for name, x in found.items()}
+        found["place"] = (found["at"] - begins[of]) << 7 | (found["count"] - 1)
+        columns = [(found[name] >> np.uint64(48) if kind is np.uint16 else found[name]).astype(kind) for name, kind in _FIELDS]
+        heads = _runs(bucket, of)  # a document's first context in a bucket
+        each = np.diff(np.append(heads, len(bucket))).astype(np.uint32)
+        tables = [ids[of[heads]], marks[of[heads]], shifts[of[heads]], each]
+        used = _runs(bucket)
+        cuts, rows = np.append(used, len(bucket)).tolist(), np.append(np.searchsorted(heads, used), len(heads)).tolist()
+        moved = bool(shifts.any())
+        out: list[list[bytes]] = [[], [], [], [], []]
+        for a, b, i, j in zip(cuts, cuts[1:], rows, rows[1:], strict=False):
+            for k, table in enumerate(tables):
+                out[k].append(table[i:j].tobytes() if k != 2 or moved else b"")
+            out[4].append(b"".join([c[a:b].tobytes() for c in columns]))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[used], pa.int32()), *[pa.array(x, pa.binary()) for x in out]], ["bucket", "ids", "marks", "shifts", "counts", "data"])
 
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
@@ -171,27 +185,27 @@ def _settle_bucket(bucket: int, buckets: int, rows: list[dict], length: int) ->
     """Rows of doc_id, mark and, packed: spans (contexts that a smaller document has) and asked (contexts to compare, with
     their anchors' group)."""
     fields: dict[str, list[np.ndarray]] = {name: [] for name, _ in _FIELDS}
-    doc, mark, pos = [], [], []
+    tables: dict[str, list[np.ndarray]] = {name: [] for name in ("ids", "marks", "shifts", "counts")}
     for row in rows:
-        n, at = len(row["data"]) // sum(np.dtype(k).itemsize for _, k in _FIELDS), 0
+        n, at = len(row["data"]) // _SIZE, 0
         for name, kind in _FIELDS:
             fields[name].append(np.frombuffer(row["data"], kind, n, at))
             at += n * np.dtype(kind).itemsize
-        ids, marks, begins, shifts = (np.frombuffer(row[c], np.int64) for c in ("ids", "marks", "begins", "shifts"))
-        place = (fields["place"][-1] >> np.uint32(7)).astype(np.int64)
-        of = np.searchsorted(begins, place, side="right") - 1
-        doc.append(ids[of])
-        mark.append(marks[of])
-        pos.append(place - begins[of] + shifts[of])
-    gram, text, left, right = (np.concatenate(fields[n]) for n in ("gram", "text", "left", "right"))
-    count = (np.concatenate(fields["place"]) & np.uint32(127)).astype(np.int64) + 1
-    doc, mark, pos = (np.concatenate(x) for x in (doc, mark, pos))
-    n = len(gram)
-    order = np.lexsort((doc, text, gram))
-    gram, text, left, right, count, doc, mark, pos = (x[order] for x in (gram, text, left, right, count, doc, mark, pos))
+        for name, parts in tables.items():
+            parts.append(np.frombuffer(row[name], np.uint32 if name == "counts" else np.int64))
+        if not len(tables["shifts"][-1]):
+            tables["shifts"][-1] = np.zeros(len(tables["ids"][-1]), np.int64)
+    gram, text, left, right, place = (np.concatenate(fields[n]) for n in ("gram", "text", "left", "right", "place"))
+    ids, marks, shifts, counts = (np.concatenate(x) for x in tables.values())
+    of = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    order = np.lexsort((ids[of], text, gram))
+    gram, of = gram[order], of[order]
     starts = _runs(gram)
-    some = _spread(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), starts, n)
-    gram, text, left, right, count, doc, mark, pos = (x[some] for x in (gram, text, left, right, count, doc, mark, pos))
+    doc = ids[of]
+    some = _spread(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), starts, len(gram))
+    order, gram, of, doc = order[some], gram[some], of[some], doc[some]
+    text, left, right, place = text[order], left[order], right[order], place[order]
+    mark, pos, count = marks[of], shifts[of] + (place >> np.uint32(7)).astype(np.int64), (place & np.uint32(127)).astype(np.int64) + 1
     n = len(gram)
     if not n:
         return
@@ -352,8 +366,8 @@ def repeated_strings(texts: list[bytes], owners: np.ndarray, length: int, column
     lengths = np.array([len(t) for t in texts])
     found, begin = of[hit], lengths[of[hit]] - size[hit]
     order = np.lexsort((begin, found))
-    cuts = np.searchsorted(found[order], np.arange(len(texts) + 1))
-    return [begin[order][cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+    cuts, begin = np.searchsorted(found[order], np.arange(len(texts) + 1)).tolist(), begin[order]
+    return [begin[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int, folder: str, collection: int, memory: int) -> Iterator[pa.RecordBatch]:
@@ -407,39 +421,40 @@ def repeated_spans(docs: DataFrame, length: int = 50, collection: int = COLLECTI
     if not 32 <= length <= 127:
         raise ValueError("length is 32 to 127")
     spark = docs.sparkSession
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_bytes))
-    dealt = docs.mapInArrow(lambda b: _anchor_rows(b, length, buckets), "bucket int, ids binary, marks binary, begins binary, shifts binary, data binary")
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_key(batches, "bucket"):
-            yield from _settle_bucket(bucket, buckets, rows, length)
-
-    known = settled(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc_id long, mark long, spans binary, asked binary, groups binary"))
-    asked = settled(known.filter("asked is not null").groupBy("doc_id", "mark").agg(F.collect_list("asked").alias("asked"), F.collect_list("groups").alias("groups")))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                runs, groups = (np.concatenate([np.frombuffer(b, kind) for b in row[c]]) for c, kind in (("asked", np.uint64), ("groups", np.int64)))
-                at = (runs >> np.uint64(7)).astype(np.int64)
-                end = at + (runs & np.uint64(127)).astype(np.int64) + length
-                text = row["text"]
-                yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array([row["mark"]] * len(at), pa.int64()), pa.array(at), pa.array([text[i:j] for i, j in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())], ["group", "doc_id", "mark", "pos", "context"])
-
-    bytes_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
-    met = _joined(docs, asked, 2 * bytes_of("asked") + 64, ["doc_id", "mark"], "inner").select("doc_id", "mark", "text", "asked", "groups")
-    contexts = met.mapInArrow(fetch, "group long, doc_id long, mark long, pos long, context binary")
-    folder = scratch(spark, "suffixes")
-    compared = contexts.repartition("group").sortWithinPartitions("group").mapInArrow(lambda b: _compare(b, length, folder, collection, memory), "doc_id long, mark long, spans binary")
-    both = known.filter("spans is not null").select("doc_id", "mark", "spans").union(compared)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            merged = [_merge(b, length).tobytes() for b in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(merged, pa.binary())], ["doc_id", "mark", "spans"])
-
-    return settled(both.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans")).mapInArrow(merge, "doc_id long, mark long, spans binary"))
+    with arrow_batches(spark, 500):
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_bytes))
+        dealt = docs.mapInArrow(lambda b: _anchor_rows(b, length, buckets), "bucket int, ids binary, marks binary, shifts binary, counts binary, data binary")
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, rows in _by_key(batches, "bucket"):
+                yield from _settle_bucket(bucket, buckets, rows, length)
+
+        known = settled(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc_id long, mark long, spans binary, asked binary, groups binary"))
+        asked = settled(known.filter("asked is not null").groupBy("doc_id", "mark").agg(F.collect_list("asked").alias("asked"), F.collect_list("groups").alias("groups")))
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    runs, groups = (np.concatenate([np.frombuffer(b, kind) for b in row[c]]) for c, kind in (("asked", np.uint64), ("groups", np.int64)))
+                    at = (runs >> np.uint64(7)).astype(np.int64)
+                    end = at + (runs & np.uint64(127)).astype(np.int64) + length
+                    text = row["text"]
+                    yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array([row["mark"]] * len(at), pa.int64()), pa.array(at), pa.array([text[i:j] for i, j in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())], ["group", "doc_id", "mark", "pos", "context"])
+
+        bytes_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
+        met = _joined(docs, asked, 2 * bytes_of("asked") + 64, ["doc_id", "mark"], "inner").select("doc_id", "mark", "text", "asked", "groups")
+        contexts = met.mapInArrow(fetch, "group long, doc_id long, mark long, pos long, context binary")
+        folder = scratch(spark, "suffixes")
+        compared = contexts.repartition("group").sortWithinPartitions("group").mapInArrow(lambda b: _compare(b, length, folder, collection, memory), "doc_id long, mark long, spans binary")
+        both = known.filter("spans is not null").select("doc_id", "mark", "spans").union(compared)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                merged = [_merge(b, length).tobytes() for b in batch.column("spans").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(merged, pa.binary())], ["doc_id", "mark", "spans"])
+
+        return settled(both.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans")).mapInArrow(merge, "doc_id long, mark long, spans binary"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text", collection: int = COLLECTION, memory: int = MEMORY_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -453,7 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     spans = repeated_spans(named, length, collection, memory, bucket_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             sizes, removed, counts, kept = [], [], [], []
             for text, packed in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 edges = np.frombuffer(packed, np.int64).tolist() if packed else []
