@@ -70,6 +70,11 @@ def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows over all shuffle partitions, for few rows that the next step turns into many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """``df[name]``, or a null of this type where the table has no such column."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -21,19 +21,21 @@ def connected(edges: DataFrame) -> DataFrame:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     left = settled(edges.filter("a != b").select(*ordered("a", "b")).distinct())
-    labels = left.select(F.col("a").alias("node"), F.col("a").alias("head")).limit(0)
-    first = True
+    rounds = []
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
         nearest = both.groupBy("node").agg(F.min_by("near", F.xxhash64("near")).alias("near"))
         parents = settled(nearest.select("node", F.when(F.xxhash64("near") < F.xxhash64("node"), F.col("near")).otherwise(F.col("node")).alias("parent")))
-        if first:
-            labels, first = parents.withColumnRenamed("parent", "head"), False
-        else:
-            moved = parents.select(F.col("node").alias("head"), "parent")
-            labels = settled(labels.join(moved, "head", "left").select("node", F.coalesce("parent", "head").alias("head")))
+        rounds.append(parents)
         ends = [parents.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}")) for c in "ab"]
         met = left.join(ends[0], "a").join(ends[1], "b").filter("_a != _b")
         left = settled(met.select(*ordered("_a", "_b")).distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds[0].withColumnRenamed("parent", "head")
+    for k, parents in enumerate(rounds[1:], 1):
+        moved = parents.select(F.col("node").alias("head"), "parent")
+        labels = labels.join(moved, "head", "left").select("node", F.coalesce("parent", "head").alias("head"))
+        labels = settled(labels) if k % 4 == 0 else labels
     least = labels.groupBy("head").agg(F.min("node").alias("component"))
     return labels.join(least, "head").select("node", "component")

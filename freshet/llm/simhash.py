@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sent_if_small, settled
+from .common import arrow_batches, sent_if_small, settled, spread
 from .components import connected
 from .tokenization import in_parts
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for begin, end in in_parts(texts):
+            for begin, end in in_parts(texts, 1_000_000):
                 each = [np.array(shingle_hashes(t, width, seed), np.uint64) for t in texts[begin:end]]
                 counts = np.array([len(h) for h in each])
                 hashes, begins = np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(counts) - counts
@@ -99,8 +99,8 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
 def group_bits(n: int, both: np.ndarray, parts: int) -> tuple[tuple[int, ...], ...]:
     """Bits in ``parts`` groups of near-equal size, each grown from its first bit by the most correlated ones left."""
     p = np.diag(both) / max(n, 1)
-    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    tie = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
+    scale = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+    tie = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(scale, scale)
     left, groups = list(range(BITS)), []
     for k in range(parts):
         group = [left.pop(0)]
@@ -170,7 +170,7 @@ def _star(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKET_PAIRS, second: int | None = None) -> DataFrame:
-    """a, b: fingerprints of different ``component`` within ``distance``, by probing each partition and comparing.
+    """a, b: different components that have fingerprints within ``distance``, by probing each partition and comparing.
 
     ``nodes`` has fp and component, and with ``second`` more; then a pair's second fingerprints differ by at most as many
     bits. Where more than ``bucket_pairs`` fingerprints share a partition's bits, these are not paired with each other
@@ -181,7 +181,7 @@ def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKE
     used = [i for i, t in enumerate(plan.thresholds) if t >= 0]
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(masks[i]).alias("key")) for i in used])
     nodes, some = nodes.withColumn("crowded", F.lit(False)), False
-    if distance <= 4 and second is None:
+    if distance <= 4:
         index = nodes.select("fp", F.explode(keys).alias("_k")).select("fp", "_k.part", "_k.key")
         crowded = settled(index.groupBy("part", "key").count().filter(F.col("count") > bucket_pairs).select("part", "key"))
         some = not crowded.isEmpty()
@@ -201,14 +201,15 @@ def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKE
         on = (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a_component"] != right["b_component"]) & (F.bit_count(left["a"].bitwiseXOR(right["b"])) <= distance)
         if second is not None:
             on = on & (F.bit_count(left["a_more"].bitwiseXOR(right["b_more"])) <= second)
-        return left.join(right, on & (left["a"] < right["b"]) if once else on).select("a", "b")
+        return left.join(right, on & (left["a"] < right["b"]) if once else on).select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).distinct()
 
     if not some:
         return met(probes, index, True)
     pairs = met(probes.filter(~F.col("a_crowded")), index, False).union(met(probes.filter("a_crowded"), index.filter(~F.col("b_crowded")), False))
     crowd = nodes.filter("crowded")
-    linked = pairs.union(_star(crowd, distance // 2))
-    return linked if distance % 2 == 0 else linked.union(_odd(crowd, distance))
+    near = _star(crowd, distance // 2) if distance % 2 == 0 else _star(crowd, distance // 2).union(_odd(crowd, distance))
+    of = [crowd.select(F.col("fp").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
+    return pairs.union(near.join(of[0], "a").join(of[1], "b").select("_a", "_b"))
 
 
 def _odd(nodes: DataFrame, distance: int) -> DataFrame:
@@ -223,26 +224,29 @@ def _odd(nodes: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", bucket_pairs: int = BUCKET_PAIRS, second: int | None = None) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints within ``distance`` bits.
 
-    Equal fingerprints are one node. Those within two bits are connected first, through words that they share, then
-    those within four, then all; each search compares only fingerprints of different components, so a large group of
-    near copies costs what its members cost and not its pairs. ``second`` bounds the differing bits of a second
-    fingerprint, for distances at which unrelated texts would meet by chance; it holds for links found by searching.
+    Equal fingerprints are one node. Those within two bits are connected first, through words that they share (not with
+    ``second``), then those within four, then all; each search links only fingerprints of different components, so a
+    large group of near copies costs what its members cost and not its pairs. ``second`` bounds the differing bits of a
+    second fingerprint where more than four of the first differ, as unrelated texts then would meet by chance.
     Null doc_ids take part but name a component only where it has no other.
     """
-    found = settled(fingerprints(docs, width, seed, id_column, text_column, second is not None))
+    with arrow_batches(docs.sparkSession, 1000):
+        found = settled(fingerprints(docs, width, seed, id_column, text_column, second is not None))
     more = [F.min_by("more", "doc_id").alias("more")] if second is not None else []
-    nodes = settled(found.groupBy("fp").agg(F.min("doc_id").alias("first"), *more))
-    close = connected(_star(nodes.select("fp"), 1)) if distance >= 2 else connected(nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    labelled = settled(nodes.join(close.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    nodes = settled(spread(found.groupBy("fp").agg(F.min("doc_id").alias("first"), *more), "fp"))
+    labelled = nodes.withColumn("component", F.col("fp"))
+
+    def merged(edges: DataFrame) -> DataFrame:
+        joined = connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+        named = labelled.join(joined, "component", "left").withColumn("component", F.coalesce("_joined", "component")).drop("_joined")
+        return settled(spread(named, "fp"))
+
+    if distance >= 2 and second is None:
+        labelled = merged(_star(nodes.select("fp"), 1))
     n, both = bit_counts(nodes)
     for step in ([4] if distance > 4 else []) + [distance]:
-        if not n:
-            break
-        pairs = links(labelled.drop("first"), step, choose_plan(n, both, step), bucket_pairs, second)
-        of = [labelled.select(F.col("fp").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-        between = pairs.join(of[0], "a").join(of[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        joined = connected(between).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-        labelled = settled(labelled.join(joined, "component", "left").withColumn("component", F.coalesce("_joined", "component")).drop("_joined"))
+        if n:
+            labelled = merged(links(labelled.drop("first"), step, choose_plan(n, both, step), bucket_pairs, second if step > 4 else None))
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = labelled.select("fp", "component").join(named, "component").select("fp", "component_id")
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")

@@ -213,7 +213,7 @@ def pipeline(rows, items, rules, vocabulary, common, classes, distance=8, width=
 
     def linked(a, b):
         bits = (prints[a][0] ^ prints[b][0]).bit_count()
-        return bits <= 2 or (bits <= distance and (prints[a][1] ^ prints[b][1]).bit_count() <= second)
+        return bits <= 4 or (bits <= distance and (prints[a][1] ^ prints[b][1]).bit_count() <= second)
 
     groups = components(prints, linked)
     rows = [r for r in rows if groups[r[0]] == r[0]]
