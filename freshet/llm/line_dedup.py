@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, sent_if_small, settled
+from .common import BROADCAST_ROWS, sent_if_small, settled, spread
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -39,34 +39,37 @@ def half_keys(line: Column) -> list[Column]:
 
 
 def segment_neighbours(contents: DataFrame, segments: int = 16) -> DataFrame:
-    """The contents (first, line) that equal another one outside a segment of their characters.
+    """The contents (first, line) that equal another one outside a segment of their characters, and spots: the characters
+    (from 1) of those segments, and 0.
 
     For the longer line's length, the line itself or one character more, all but each of ``segments`` stretches is
     hashed: the part before it from the left and the part behind it from the right. One edit lies in one segment, so
-    lines an edit apart have such a hash in common, and few others do.
+    lines an edit apart have such a hash in common, and the longer one's edited character is among its spots.
     """
     longer = contents.select("first", "line", F.explode(F.array(F.length("line"), F.length("line") + 1)).alias("longer"))
     wide = F.ceil(F.col("longer") / segments).cast("int")
     cuts = longer.withColumn("wide", wide).withColumn("segment", F.explode(F.sequence(F.lit(0), F.ceil(F.col("longer") / F.col("wide")).cast("int") - 1)))
-    before = F.col("segment") * F.col("wide")
+    before, n = F.col("segment") * F.col("wide"), F.length("line")
     behind = F.greatest(F.col("longer") - before - F.col("wide"), F.lit(0))
-    outside = F.xxhash64("longer", "segment", F.substring("line", F.lit(1), before), F.substring("line", F.length("line") - behind + 1, behind))
-    keyed = cuts.select("first", outside.alias("key"))
+    outside = F.xxhash64("longer", "segment", F.substring("line", F.lit(1), before), F.substring("line", n - behind + 1, behind))
+    own = F.when(F.col("longer") == n, F.sequence(before + 1, F.least(before + F.col("wide"), n))).otherwise(F.array(F.lit(0)))
+    keyed = cuts.select("first", outside.alias("key"), own.alias("spots"))
     shared = keyed.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a != b").select("key")
-    return contents.join(keyed.join(shared, "key", "left_semi").select("first").distinct(), "first")
+    near = keyed.join(shared, "key", "left_semi").groupBy("first").agg(F.array_union(F.array(F.lit(0)), F.flatten(F.collect_list("spots"))).alias("spots"))
+    return contents.join(near, "first")
 
 
 def deletions(contents: DataFrame) -> DataFrame:
-    """The deletion neighbourhood of each content (first, line): doc_id and line_no of ``first``, spot (the deleted
+    """The deletion neighbourhood of each content (first, line, spots): doc_id and line_no of ``first``, spot (the deleted
     character, from 1; 0 for the line itself), and two hashes of the variant, v1 and v2."""
-    spots = contents.select("first", "line", F.explode(F.sequence(F.lit(0), F.length("line"))).alias("spot"))
+    each = contents.select("first", "line", F.explode("spots").alias("spot"))
     cut = F.concat(F.substring("line", F.lit(1), F.col("spot") - 1), F.substring("line", F.col("spot") + 1, F.length("line")))
     text = F.when(F.col("spot") == 0, F.col("line")).otherwise(cut)
-    return spots.select(F.xxhash64(text).alias("v1"), F.xxhash64(F.lit(1), text).alias("v2"), "spot", "first.doc_id", "first.line_no")
+    return each.select(F.xxhash64(text).alias("v1"), F.xxhash64(F.lit(1), text).alias("v2"), "spot", "first.doc_id", "first.line_no")
 
 
 def earlier_neighbours(contents: DataFrame) -> DataFrame:
-    """first of each content (first, line) with an earlier one a single edit away.
+    """first of each content (first, line, spots) with an earlier one a single edit away.
 
     Contents that agree after deletion at the same spot differ by a substitution there, all of them from each other, so
     each is compared with the earliest only. One that equals another's deletion differs by an insertion. So a variant
@@ -110,8 +113,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, id_colu
         near = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
         wanted = settled(near.join(contents, ["h1", "h2"]).select("h1", "h2", "first"))
         found = lines.select("doc_id", "line_no", "line", *identity(F.col("line"))).join(sent_if_small(wanted, BROADCAST_ROWS), ["h1", "h2"])
-        with_text = settled(found.filter(place == F.col("first")).select("first", "line").distinct().repartition("first"))
-        late = settled(earlier_neighbours(settled(segment_neighbours(with_text).repartition("first"))).withColumn("late", F.lit(True)))
+        with_text = settled(spread(found.filter(place == F.col("first")).select("first", "line").distinct(), "first"))
+        late = settled(earlier_neighbours(settled(spread(segment_neighbours(with_text), "first"))).withColumn("late", F.lit(True)))
         contents = contents.join(late, "first", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     else:
         contents = contents.withColumn("late", F.lit(False))
