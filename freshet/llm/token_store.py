@@ -26,12 +26,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_batches
 from .tokenization import SpacedPieces, encoder, in_parts
 
 MAGIC = b"FRSTS8B1"
 BLOCK = 4096
 #: Ids in a file at least, but for a partition's last one; a longer document has a larger file.
-FILE_IDS = 8_000_000
+FILE_IDS = 2_000_000
 # Ids in a word, and bits of each, by selector; ids of all-zero runs aren't treated apart.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 64])
@@ -39,25 +40,41 @@ ESCAPE = 15
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and the word at which each block begins, of uint64 ids."""
+    """Words, and the word at which each block begins, of unsigned ids."""
     words, starts, done = [], [], 0
-    for at in range(0, len(ids), 256 * BLOCK):
-        part, begin = _encode_blocks(ids[at : at + 256 * BLOCK])
+    for at in range(0, len(ids), 512 * BLOCK):
+        part, begin = _encode_blocks(ids[at : at + 512 * BLOCK].astype(np.uint64))
         words.append(part)
         starts.append(begin + done)
         done += len(part)
     return np.concatenate([*words, np.zeros(0, np.uint64)]), np.concatenate([*starts, np.zeros(0, np.uint64)]).astype(np.uint64)
 
 
+_SHORT_BITS = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
+
+
+def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id; up to one more from 2**53 on, which costs room only."""
+    if len(ids) and ids.max() < 1 << 16:
+        return _SHORT_BITS[ids]
+    return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+
+
 def _encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
-    at = np.arange(n)
-    ends = np.minimum((at // BLOCK + 1) * BLOCK, n)  # of each id's block
-    selector = np.full(n, ESCAPE, np.int8)
-    for s in range(13, -1, -1):  # the larger counts win
-        too_wide = np.flatnonzero(ids >> np.uint64(WIDTHS[s]))
-        reach = np.append(too_wide, n)[np.searchsorted(too_wide, at)] if len(too_wide) else np.full(n, n)
-        selector[np.minimum(reach, ends) - at >= COUNTS[s]] = s
+    # blocks one below the other, with ids behind each that no selector holds, so that no word leaves its block
+    widest = np.full((-(-n // BLOCK), BLOCK + int(COUNTS[0])), 255, np.uint8)
+    widest[:, :BLOCK].flat[:n] = _bit_lengths(ids)
+    selector = np.where(widest[:, :BLOCK] <= 60, 13, ESCAPE).astype(np.uint8)
+    least, run = int(widest.min(initial=255)), 1  # widest: of the ``run`` ids from each position
+    for s in range(12, -1, -1):  # the larger counts win
+        if WIDTHS[s] < least:
+            break
+        while run < COUNTS[s]:
+            step = min(run, int(COUNTS[s]) - run)
+            widest, run = np.maximum(widest[:, :-step], widest[:, step:]), run + step
+        np.copyto(selector, s, where=widest[:, :BLOCK] <= WIDTHS[s])
+    selector = selector.ravel()
     # each block walks its words from its first id; all blocks step together
     here, stops = np.arange(0, n, BLOCK), np.minimum(np.arange(0, n, BLOCK) + BLOCK, n)
     block, found, of = np.arange(len(here)), [], []
@@ -115,7 +132,7 @@ def decode_words(words: np.ndarray, starts: np.ndarray, n_ids: int, blocks: rang
 
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    words, starts = encode_ids(ids.astype(np.uint64))
+    words, starts = encode_ids(ids)
     table = np.zeros(len(doc_ids), [("doc", "<i8"), ("ids", "<u8")])
     table["doc"], table["ids"] = [d or 0 for d in doc_ids], lengths
     null = np.array([d is None for d in doc_ids], np.uint8)
@@ -138,7 +155,7 @@ def parse(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, file_ids: int = FILE_IDS, partitions: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes ``*.s8b`` files under ``path`` in ascending doc_id order (nulls first, equal ids by text) and returns the manifest.
+    """Writes ``*.s8b`` files under ``path`` in ascending doc_id order (nulls first, equal ids by a hash of their texts) and returns the manifest.
 
     The manifest has part, file, n_docs and n_ids, and is stored beside the files. A file appears under its name only
     when it is whole, and a task that runs again writes the same bytes, so lost executors do no harm. Null texts count
@@ -185,9 +202,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             yield flush()
 
     columns = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    dealt = columns.repartitionByRange(partitions, "doc_id", "text") if partitions else columns.repartitionByRange("doc_id", "text")
-    done = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, file int, n_docs long, n_ids long")
-    done.write.mode("overwrite").parquet(f"{path}/manifest")
+    # ranges are found from a sample of their keys, so these are short; the text itself only breaks ties
+    keys = ["doc_id", F.xxhash64("text")]
+    dealt = columns.repartitionByRange(partitions, *keys) if partitions else columns.repartitionByRange(*keys)
+    done = dealt.sortWithinPartitions(*keys, "text").mapInArrow(write, "part int, file int, n_docs long, n_ids long")
+    with arrow_batches(spark, 1000):
+        done.write.mode("overwrite").parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
