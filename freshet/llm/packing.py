@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import arrow_batches, settled
 from .tokenization import WordPieces, encoder, in_parts
 
 CAPACITY = 2048
@@ -94,7 +94,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     distribution, about ``group_pieces`` each, and each group is packed by ``sum_of_squares`` in one task: bounded work
     a task, and a group's few part-filled sequences are all that splitting costs. Rows move once, without texts.
     """
-    pieces = settled(pieces)
+    with arrow_batches(pieces.sparkSession, 1000):
+        pieces = settled(pieces)
     names = pieces.columns
     rest = pieces.filter(F.col("length") < capacity)
     groups = max(1, math.ceil(rest.count() / group_pieces))
