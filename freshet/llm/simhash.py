@@ -20,6 +20,11 @@ from .tokenization import in_parts
 BITS = 64
 #: Fingerprints with the same bits in one partition up to which pairs are compared; more of them are linked another way.
 BUCKET_PAIRS = 4096
+#: Shingle sets that share a key up to which all pairs are compared, parts of larger buckets with a centre each, and rounds
+#: of centres after which all pairs of what is left are compared.
+FEW_SETS, CENTRES, CENTRE_ROUNDS = 16, 8, 8
+#: Shingles known to be common at most, of a quarter of the documents.
+COMMON_SHINGLES = 100_000
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> list[int]:
@@ -252,13 +257,120 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: in
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 8, width: int = 5, second: int = 14, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def common_shingles(docs: DataFrame, width: int, seed: int) -> np.ndarray:
+    """Hashes, sorted, of shingles that many documents (doc_id, text) have: counted over a quarter of them, batch by batch.
+    They only order the shingles, so that a missed one costs time and no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.unique(np.array(shingle_hashes(t or "", width, seed), np.uint64)) for t in batch.column("text").to_pylist()]
+            found, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).select("text").mapInArrow(run, "shingle long, n long")
+    most = some.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES)
+    return np.sort(most.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def shingle_sets(docs: DataFrame, similarity: float, width: int, seed: int, common: np.ndarray | None) -> DataFrame:
+    """doc_id, node (a hash of the document's set of shingles), size, and of the set, as hashes, with ``common`` the first
+    ones in a fixed order that any set as similar must share one of (keys), common shingles last, and the number of others
+    (rare); without it all (shingles). ``docs`` has doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for begin, end in in_parts([t or "" for t in texts], 1_000_000):
+                nodes, sizes, rare, lists = [], [], [], []
+                for text in texts[begin:end]:
+                    own = np.unique(np.array(shingle_hashes(text or "", width, seed), np.uint64))
+                    nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                    sizes.append(len(own))
+                    if common is not None:
+                        late = np.isin(own, common, assume_unique=True)
+                        rare.append(len(own) - int(late.sum()))
+                        # the rounding of the product must not shorten the list
+                        first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+                        own = np.concatenate([own[~late], own[late]])[:first]
+                    lists.append(own.view(np.int64))
+                places = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+                out = {"doc_id": batch.column("doc_id").slice(begin, end - begin), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32())}
+                out |= {"shingles": flat} if common is None else {"rare": pa.array(rare, pa.int32()), "keys": flat}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, " + ("shingles array<long>" if common is None else "rare int, keys array<long>"))
+
+
+def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of nodes of different components that share a key and can be as similar; and the members (key, place,
+    node, size, rare, component) whose pairs are not all among them. No more than ``few`` (None: any number) of a key are
+    paired with each other; of more, ``CENTRES`` with all, those with the fewest rare shingles, which are most like the rest."""
+    sides = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
+    open_ = settled(members.join(sides.select("key", "n"), "key"))
+    small = open_.drop("n") if few is None else open_.filter(F.col("n") <= few).drop("n")
+    large = open_.filter("false").drop("n") if few is None else open_.filter(F.col("n") > few).drop("n")
+    side = lambda df, name: df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "place", "component")])
+    # both can have at most so many shingles in common, if this key is the first that they share
+    most = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    fits = (most / (F.col("a_size") + F.col("b_size") - most) >= similarity) & (F.col("a_component") != F.col("b_component"))
+    ends = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
+    pairs = side(small, "a").join(side(small, "b"), "key").filter(fits & (F.col("a_node") < F.col("b_node"))).select(*ends)
+    part = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
+    centres = settled(large.groupBy("key", part.alias("part")).agg(F.min(F.struct("rare", "node", "size", "place", "component")).alias("c")).select("key", "c.*"))
+    met = side(large, "a").join(sent_if_small(side(centres, "b")), "key").filter(fits & (F.col("a_node") != F.col("b_node"))).select(*ends)
+    left = large.join(sent_if_small(centres.select("key", "node")), ["key", "node"], "left_anti")
+    return pairs.union(met).distinct(), left
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", few: int = FEW_SETS) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id reachable over texts whose sets of shingles have a Jaccard similarity of
+    ``similarity`` or more. No such pair is lost.
+
+    Shingles are in one order for all texts, by hash, those known to be common last. Of two sets as similar each has one
+    of the other's among its first 1 - ``similarity`` (and one more), so sets meet by these; the whole sets are compared
+    where they do. In buckets of over ``few`` sets some are compared with all others, and only what this leaves in
+    different components goes to the next round, so a large group of near copies costs what its members cost.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    with arrow_batches(spark, 1000):
+        common = common_shingles(texts, width, seed)
+        found = settled(shingle_sets(texts, similarity, width, seed, common))
+        index = found.select("node", "size", "rare", F.posexplode("keys").alias("place", "key"))
+        shared = settled(index.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("key"))
+        members = settled(index.join(sent_if_small(shared), "key", "left_semi").distinct().withColumn("component", F.col("node")))
+        wanted = members.select("node").distinct()
+        held = found.select("doc_id", "node").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("_first")).select("_first").distinct()
+        own = texts.join(sent_if_small(settled(held)), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+        sets = settled(shingle_sets(own, similarity, width, seed, None).select("node", "size", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    of = [sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    labelled, turn = settled(found.groupBy("node").agg(F.min("doc_id").alias("first"))).withColumn("component", F.col("node")), 0
+    while not members.isEmpty():
+        pairs, left = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None)
+        alike = pairs.join(of[0], "a").join(of[1], "b").filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b")
+        named = [labelled.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
+        edges = settled(alike.join(named[0], "a").join(named[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        members, turn = settled(left), turn + 1
+        if not edges.isEmpty():
+            joined = connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+            renamed = lambda df: df.join(joined, "component", "left").withColumn("component", F.coalesce("_joined", "component")).drop("_joined")  # noqa: E731, B023
+            labelled, members = settled(renamed(labelled)), settled(renamed(members))
+    named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_node = labelled.select("node", "component").join(named, "component").select("node", "component_id")
+    return found.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate group, the one with the smallest doc_id of each.
 
-    By default at least seven of eight bits agree, over shingles of five words. Documents without words are one group.
+    By default texts are linked from a Jaccard similarity of 0.8 on, over shingles of five words. Documents without words
+    are one group.
     Of rows that share a doc_id the one with the smallest text stays.
     """
-    found = settled(near_duplicates(docs, distance, width, id_column=id_column, text_column=text_column, second=second).select("doc_id", "component_id"))
+    found = settled(similar_texts(docs, similarity, width, id_column=id_column, text_column=text_column))
     stands = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = settled(found.filter(~stands).select(F.col("doc_id").alias("_gone")).distinct())
     kept = docs.join(sent_if_small(gone), F.col(id_column).eqNullSafe(F.col("_gone")), "left_anti")

@@ -109,6 +109,29 @@ def test_one_of_each(spark, rows):
     assert simhash.one_of_each(brute.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [16, 1])
+def test_one_of_each_links_from_similarity_on(spark, monkeypatch, few):
+    rng = np.random.default_rng(8)
+    rows = []
+    for base in range(30):
+        own = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(30, 160))]
+        passage = [f"p{k}" for k in range(20)]
+        for copy in range(6):
+            text = list(own)
+            for spot in rng.choice(len(text), rng.integers(0, 6), replace=False):
+                text[spot] = f"x{base}y{copy}z{spot}"
+            rows.append((len(rows), " ".join(text + passage * (base % 2)), None, None, None))
+    sets = {r[0]: {tuple(w[k : k + 5]) for w in [r[1].split()] for k in range(len(w) - 4)} for r in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    expected = brute.components(sets, alike)
+    monkeypatch.setattr(simhash, "CENTRES", 2)
+    monkeypatch.setattr(simhash, "CENTRE_ROUNDS", 2)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(brute.frame(spark, rows).repartition(3), few=few).collect()}
+    assert got == expected and 40 < len(set(expected.values())) < 170
+    if few == 16:
+        assert {r.doc_id for r in simhash.one_of_each(brute.frame(spark, rows)).collect()} == set(expected.values())
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
