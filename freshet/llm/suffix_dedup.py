@@ -97,8 +97,9 @@ def context_anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, leng
     whole = _mix(_at(powers, first, length) * _ODD[9] + _at(powers, last, length) * _ODD[10] + (last - first).astype(np.uint64))
     left, right = at - first >= half, at - last <= length - GRAM - half
     sides = [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)]
-    sides[0][left] = _at(powers, at[left] - half, GRAM + half) | np.uint64(1)
-    sides[1][right] = _at(powers, at[right], GRAM + half) | np.uint64(1)
+    least_key = np.uint64(1 << 48)  # only the high 16 bits are kept, and 0 there says that there is no such side
+    sides[0][left] = np.maximum(_at(powers, at[left] - half, GRAM + half), least_key)
+    sides[1][right] = np.maximum(_at(powers, at[right], GRAM + half), least_key)
     return {"gram": gram[at], "text": whole, "left": sides[0], "right": sides[1], "at": first, "count": last - first + 1}
 
 

@@ -221,6 +221,20 @@ def test_repeated_strings_shuffled_in_files_and_blocks(spark, rows, monkeypatch)
     assert got == brute.without_repeats(tricky)
 
 
+def test_repeated_strings_by_a_neighbourhood_whose_high_bits_are_zero(spark):
+    data = np.random.default_rng(3).integers(97, 123, 4_000_000, dtype=np.uint8)
+    powers = suffix_dedup._powers(data, 5)
+    gram = suffix_dedup._mix(powers[4])
+    inner = np.arange(60, len(gram) - 60)
+    zero = inner[suffix_dedup._at(powers, inner - 17, 33) >> np.uint64(48) == 0]
+    # strings of 50 bytes with the anchor in their second half, so that only its left neighbourhood lies in them
+    begins = [p - off for p in zero.tolist() for off in range(18, 35) if int(np.argmin(gram[p - off : p - off + 35])) == off][:1]
+    shared = data[begins[0] : begins[0] + 50].tobytes().decode()
+    rows = [(1, "0" * 40 + shared + "1" * 40, None, None, None), (2, "2" * 40 + shared + "3" * 40, None, None, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(brute.frame(spark, rows)).collect()}
+    assert got == brute.without_repeats(rows) and got[2][1] == 50
+
+
 def test_repeated_strings_edges(spark):
     text = "0123456789" * 6
     same = brute.frame(spark, [(3, text, None, None, None), (3, text, None, None, None), (None, text, None, None, None), (4, None, None, None, None)])
