@@ -58,19 +58,22 @@ def format_preferences(pairs: DataFrame, trained: tuple[str, ...] = ("assistant"
 
     The longest common turn prefix is rendered once as the prompt and never trained; each completion is the rest of its
     conversation. Equal conversations have empty completions and masks, and conversations without a common turn an
-    empty prompt. A null side counts as a conversation without turns. Further columns of ``pairs`` are kept.
+    empty prompt. A null side counts as a conversation without turns. Further columns of ``pairs`` are kept, whatever
+    their names, but for those that the result has itself; repeated rows give repeated rows and an empty table none.
     """
     none = F.lit(None).cast(TURNS)
-    sides = pairs.withColumn("_a", F.coalesce(F.col("chosen").cast(TURNS), F.array().cast(TURNS), none)).withColumn("_b", F.coalesce(F.col("rejected").cast(TURNS), F.array().cast(TURNS), none))
-    met = sides.withColumn("n_prompt_turns", common_prefix(F.col("_a"), F.col("_b")))
+    made = ("chosen", "rejected", "n_prompt_turns", "prompt", "chosen_mask", "rejected_mask")
+    own = [c for c in pairs.columns if c not in made]
+    side = lambda c: F.coalesce(F.col(c).cast(TURNS), F.array().cast(TURNS), none)
+    given = pairs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in own]).alias("_row"), side("chosen").alias("_a"), side("rejected").alias("_b"))
+    met = given.withColumn("_n", common_prefix(F.col("_a"), F.col("_b")))
     # behind the prefix the sides no longer meet, so each is cut by itself
-    rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.greatest(F.size(c) - F.col("n_prompt_turns"), F.lit(0)))
+    rest = lambda c: F.slice(c, F.col("_n") + 1, F.greatest(F.size(c) - F.col("_n"), F.lit(0)))
     cut = met.withColumn("_ra", rest(F.col("_a"))).withColumn("_rb", rest(F.col("_b")))
-    own = [c for c in pairs.columns if c not in ("chosen", "rejected")]
     return cut.select(
-        *own,
-        "n_prompt_turns",
-        render(F.slice("_a", F.lit(1), F.col("n_prompt_turns"))).alias("prompt"),
+        *[F.col("_row").getField(c).alias(c) for c in own],
+        F.col("_n").alias("n_prompt_turns"),
+        render(F.slice("_a", F.lit(1), F.col("_n"))).alias("prompt"),
         render(F.col("_ra")).alias("chosen"),
         render(F.col("_rb")).alias("rejected"),
         loss_spans(F.col("_ra"), trained).alias("chosen_mask"),
@@ -78,17 +81,18 @@ def format_preferences(pairs: DataFrame, trained: tuple[str, ...] = ("assistant"
     )
 
 
-def last_reply_pairs(turns: DataFrame) -> DataFrame:
-    """pair_id, chosen, rejected from plain conversations, one for each with an assistant turn.
+def stale_reply_pairs(turns: DataFrame) -> DataFrame:
+    """pair_id, chosen, rejected from plain conversations, one pair for each.
 
-    Chosen is the conversation up to its last assistant turn. Rejected repeats the assistant turn before in that place,
-    or an empty one where there is none: a reply that ignores what was asked last.
+    Chosen is the whole conversation. Rejected leaves it at one of its assistant turns, the conv_id's remainder by their
+    number, with the assistant's reply before in that place, or an empty one at the first: a reply that ignores what was
+    asked last, after which the conversation ends. So prefixes and completions have from none to all turns. Without an
+    assistant turn both sides are the whole conversation. Null and empty parts are turns like any other.
     """
     held = conversations(turns)
-    replies = F.filter(F.col("turns"), lambda t: t["role"] == "assistant")
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: F.coalesce(t["role"] == "assistant", F.lit(False)))), True) + 1
-    named = held.withColumn("_replies", replies).filter(F.size("_replies") > 0).withColumn("_last", last.cast("int"))
-    before = F.coalesce(F.get("_replies", F.size("_replies") - 2)["text"], F.lit(""))
-    wrong = F.struct(F.lit("assistant").alias("role"), before.alias("text"))
-    head = F.slice("turns", F.lit(1), F.col("_last") - 1)
-    return named.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("_last")).cast(TURNS).alias("chosen"), F.concat(head, F.array(wrong)).cast(TURNS).alias("rejected"))
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    named = held.withColumn("_at", places).withColumn("_pick", F.when(F.size("_at") > 0, F.pmod(F.coalesce("conv_id", F.lit(0)).cast("long"), F.size("_at"))).cast("int"))
+    spot, before = F.get("_at", F.col("_pick")), F.get("_at", F.col("_pick") - 1)
+    wrong = F.struct(F.lit("assistant").alias("role"), F.coalesce(F.get("turns", before - 1)["text"], F.lit("")).alias("text"))
+    left = F.concat(F.slice("turns", F.lit(1), F.coalesce(spot, F.lit(1)) - 1), F.array(wrong))
+    return named.select(F.col("conv_id").alias("pair_id"), F.col("turns").cast(TURNS).alias("chosen"), F.when(F.size("_at") > 0, left).otherwise(F.col("turns")).cast(TURNS).alias("rejected"))

@@ -1,7 +1,8 @@
-"""What the operators share: reading tables, shared folders and cutting lineage."""
+"""What the operators share: reading tables, shared folders, cutting lineage and joins that keep their size in bounds."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,10 +10,14 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Measured bytes of a table that is sent to every executor at most; beyond it the same join shuffles.
+BROADCAST_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,21 +33,60 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a local one
+    and a cluster an error. This session's part of it, with scratch tables and checkpoints, goes when the process ends."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="freshet-")
     if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="freshet-")
+            atexit.register(lambda: os.path.isdir(folder) and not os.listdir(folder) and os.rmdir(folder))
         sc.setCheckpointDir(folder)
+    if sc.getCheckpointDir() not in _to_delete:
+        _to_delete.append(sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+_to_delete: list[str] = []
+
+
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in _to_delete:
+        try:
+            _delete(path)
+        except Exception:  # the JVM may have ended first; the folder's owner then has to empty it
+            return
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def arrow_path(path: str) -> str:
+    """The path as pyarrow's file systems write it; they know s3, and not Hadoop's names for it."""
+    for name in ("s3a://", "s3n://"):
+        if path.startswith(name):
+            return "s3://" + path[len(name) :]
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows read back from a reliable checkpoint, so later jobs neither recompute nor depend on lost executors."""
     shared_dir(df.sparkSession)
@@ -61,20 +105,48 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-#: Rows that a table sent to every executor has at most; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda total, x: total + _bytes(x, kind.elementType)), F.lit(8).cast("long"))
+    if isinstance(kind, T.StructType):
+        total = F.lit(8).cast("long")
+        for f in kind.fields:
+            total = total + _bytes(value.getField(f.name), f.dataType)
+        return total
+    return F.lit(8).cast("long")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: 8 for a plain value, and what strings and arrays hold."""
+    total = F.lit(8).cast("long")
+    for f in df.schema.fields:
+        total = total + _bytes(F.col(f"`{f.name}`"), f.dataType)
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+
 
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df`` (checkpointed), marked for broadcast where its measured bytes are within ``BROADCAST_BYTES``."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
-def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (checkpointed, rows of at most some tens of bytes), marked for broadcast where it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+
+def joined_by(df: DataFrame, mapping: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``df`` (checkpointed) joined with ``mapping``, which has at most one row of each ``key``.
+
+    A key with more rows of ``df`` than a quarter of an even share of a partition's is hot. There are at most four times
+    as many hot keys as partitions, so their part of ``mapping`` is sent to every executor and their rows stay where they are.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
+    hot = settled(counts.filter(F.col("count") > max(df.count() / (4 * parts), 8)).select(key))
+    if hot.isEmpty():
+        return df.join(mapping, key, how)
+    known = F.broadcast(mapping.join(F.broadcast(hot), key, "left_semi"))
+    there = df.join(F.broadcast(hot), key, "left_semi").join(known, key, how)
+    return there.unionByName(df.join(F.broadcast(hot), key, "left_anti").join(mapping, key, how))
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """The rows over all shuffle partitions, for few rows that the next step turns into many."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
-def column_or_null(df: DataFrame, name: str, kind: str):
-    """``df[name]``, or a null of this type where the table has no such column."""
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)

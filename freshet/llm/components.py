@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import joined_by, settled
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,9 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round maps every node to the first of its neighbours and itself in a fixed random order (a 64-bit hash, which is
     one to one on longs) and contracts the edges, until none is left; in random order chains shrink by a constant share a
-    round and hubs at once. Minima are aggregated before they move, and every round ends in reliable checkpoints. Edges
-    with a null end and loops are ignored.
+    round and hubs at once. Minima are aggregated before they move, nodes with very many edges and components with very
+    many nodes are joined where they are, and every round ends in reliable checkpoints. Edges with a null end and loops
+    are ignored.
     """
 
     def ordered(a: str, b: str) -> list:
@@ -28,14 +29,13 @@ def connected(edges: DataFrame) -> DataFrame:
         parents = settled(nearest.select("node", F.when(F.xxhash64("near") < F.xxhash64("node"), F.col("near")).otherwise(F.col("node")).alias("parent")))
         rounds.append(parents)
         ends = [parents.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}")) for c in "ab"]
-        met = left.join(ends[0], "a").join(ends[1], "b").filter("_a != _b")
+        met = joined_by(settled(joined_by(left, ends[0], "a", "inner")), ends[1], "b", "inner").filter("_a != _b")
         left = settled(met.select(*ordered("_a", "_b")).distinct())
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = rounds[0].withColumnRenamed("parent", "head")
-    for k, parents in enumerate(rounds[1:], 1):
+    for parents in rounds[1:]:
         moved = parents.select(F.col("node").alias("head"), "parent")
-        labels = labels.join(moved, "head", "left").select("node", F.coalesce("parent", "head").alias("head"))
-        labels = settled(labels) if k % 4 == 0 else labels
+        labels = settled(joined_by(labels, moved, "head").select("node", F.coalesce("parent", "head").alias("head")))
     least = labels.groupBy("head").agg(F.min("node").alias("component"))
-    return labels.join(least, "head").select("node", "component")
+    return joined_by(labels, least, "head", "inner").select("node", "component")

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, sent_if_small, settled, spread
+from .common import sent_if_small, settled, spread
 
 SPACE = " \t\n\x0b\f\r"
 
 
 def numbered_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line_no (from 0), line: trimmed lines of at least ``min_chars`` characters; ``docs`` has doc_id and text."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "_raw"))
-    return lines.select("doc_id", "line_no", F.btrim("_raw", F.lit(SPACE)).alias("line")).filter(F.length("line") >= min_chars)
+    """doc_id, mark, line_no (from 0), line: trimmed lines of at least ``min_chars`` characters; ``docs`` has doc_id, mark, text."""
+    lines = docs.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "_raw"))
+    return lines.select("doc_id", "mark", "line_no", F.btrim("_raw", F.lit(SPACE)).alias("line")).filter(F.length("line") >= min_chars)
 
 
 def identity(line: Column) -> list[Column]:
@@ -60,12 +60,12 @@ def segment_neighbours(contents: DataFrame, segments: int = 16) -> DataFrame:
 
 
 def deletions(contents: DataFrame) -> DataFrame:
-    """The deletion neighbourhood of each content (first, line, spots): doc_id and line_no of ``first``, spot (the deleted
+    """The deletion neighbourhood of each content (first, line, spots): doc_id, mark and line_no of ``first``, spot (the deleted
     character, from 1; 0 for the line itself), and two hashes of the variant, v1 and v2."""
     each = contents.select("first", "line", F.explode("spots").alias("spot"))
     cut = F.concat(F.substring("line", F.lit(1), F.col("spot") - 1), F.substring("line", F.col("spot") + 1, F.length("line")))
     text = F.when(F.col("spot") == 0, F.col("line")).otherwise(cut)
-    return each.select(F.xxhash64(text).alias("v1"), F.xxhash64(F.lit(1), text).alias("v2"), "spot", "first.doc_id", "first.line_no")
+    return each.select(F.xxhash64(text).alias("v1"), F.xxhash64(F.lit(1), text).alias("v2"), "spot", "first.doc_id", "first.mark", "first.line_no")
 
 
 def earlier_neighbours(contents: DataFrame) -> DataFrame:
@@ -76,10 +76,10 @@ def earlier_neighbours(contents: DataFrame) -> DataFrame:
     meets one row, not all others of its group; edit distances are verified on the lines. A variant has at most as many
     contents as ways to insert a character.
     """
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "mark", "line_no")
     dealt = deletions(contents).repartition("v1", "v2")
     shared = dealt.groupBy("v1", "v2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("v1", "v2")
-    variants = settled(dealt.join(shared, ["v1", "v2"], "left_semi").withColumn("first", place).drop("doc_id", "line_no"))
+    variants = settled(dealt.join(shared, ["v1", "v2"], "left_semi").withColumn("first", place).drop("doc_id", "mark", "line_no"))
     cut, full = variants.filter("spot > 0"), variants.filter("spot = 0")
     least = cut.groupBy("v1", "v2", "spot").agg(F.min("first").alias("other"))
     changed = cut.join(least, ["v1", "v2", "spot"]).select("first", "other")
@@ -92,50 +92,50 @@ def earlier_neighbours(contents: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, removed: the numbers of the lines that repeat an earlier one, for documents that have such lines.
+    """doc_id, mark (a hash of the text) and removed: the numbers of the lines that repeat an earlier one, for documents
+    that have such lines.
 
     A line goes where an equal line, or one within ``edits`` (0 or 1) insertions, deletions or substitutions, stands
-    earlier, by doc_id and line number, in any document; all lines are judged on the input. White space around lines
-    doesn't count, and lines of fewer than ``min_chars`` (8 at least) characters stay. Rows that share a doc_id are one
-    document. Null doc_ids come first. Texts are never shuffled while the tables of repeated lines are within
-    ``BROADCAST_ROWS``.
+    earlier, by doc_id, mark and line number, in any document; all lines are judged on the input. White space around lines
+    doesn't count, and lines of fewer than ``min_chars`` (8 at least) characters stay. Rows that share a doc_id, or have
+    none, are documents of their own, but equal rows are one and lose the same lines. Null doc_ids come first, null and
+    empty texts have no line, and an empty table gives no rows. Only lines' hashes and places are shuffled, and texts not
+    while the measured table of repeated lines can be sent to every executor.
     """
     if edits not in (0, 1) or min_chars < 8:
         raise ValueError("edits is 0 or 1, min_chars 8 or more")
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    lines = numbered_lines(texts, min_chars)
-    marked = settled(lines.select("doc_id", "line_no", *identity(F.col("line")), *(half_keys(F.col("line")) if edits else [])))
-    place = F.struct("doc_id", "line_no")
-    contents = settled(marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    text = F.col(f"`{text_column}`").cast("string")
+    lines = numbered_lines(docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")), min_chars)
+    marked = settled(lines.select("doc_id", "mark", "line_no", *identity(F.col("line")), *(half_keys(F.col("line")) if edits else [])))
+    place = F.struct("doc_id", "mark", "line_no")
+    # equal rows of the table are one place
+    contents = settled(marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")))
     if edits:
         keyed = marked.select("h1", "h2", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("key"))
         shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key")
         near = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
         wanted = settled(near.join(contents, ["h1", "h2"]).select("h1", "h2", "first"))
-        found = lines.select("doc_id", "line_no", "line", *identity(F.col("line"))).join(sent_if_small(wanted, BROADCAST_ROWS), ["h1", "h2"])
+        found = lines.select("doc_id", "mark", "line_no", "line", *identity(F.col("line"))).join(sent_if_small(wanted), ["h1", "h2"])
         with_text = settled(spread(found.filter(place == F.col("first")).select("first", "line").distinct(), "first"))
         late = settled(earlier_neighbours(settled(spread(segment_neighbours(with_text), "first"))).withColumn("late", F.lit(True)))
         contents = contents.join(late, "first", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     else:
         contents = contents.withColumn("late", F.lit(False))
-    touched = contents.filter("late or n > 1").select("h1", "h2", "first", "late")
-    met = marked.select("h1", "h2", "doc_id", "line_no").join(touched, ["h1", "h2"])
+    touched = contents.filter("late or last != first").select("h1", "h2", "first", "late")
+    met = marked.select("h1", "h2", "doc_id", "mark", "line_no").join(touched, ["h1", "h2"])
     gone = met.filter(F.col("late") | (place != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    return gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def cut_lines(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """_row (a struct of the columns of ``docs``), text without the numbered lines, lines (of the whole text, none for null)
     and removed (the numbers that were cut). Null texts and untouched rows stay as they are."""
-    listed = settled(gone.select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_removed")))
-    numbers = listed.agg(F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()[0]
-    side = F.broadcast(listed) if numbers <= BROADCAST_ROWS else listed
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    listed = settled(gone.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), F.col("removed").alias("_removed")))
+    text = F.col(f"`{text_column}`").cast("string")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_column}`").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
     lines = F.when(F.col("_text").isNull(), F.array().cast("array<string>")).otherwise(F.split("_text", "\n"))
-    joined = given.withColumn("lines", lines).join(side, F.col("_id").eqNullSafe(F.col("_gone_id")), "left")
-    # a document that shares its id with another has only the numbers that its own text has
-    own = F.filter(F.coalesce("_removed", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
-    joined = joined.withColumn("removed", own)
+    joined = given.withColumn("lines", lines).join(sent_if_small(listed), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
+    joined = joined.withColumn("removed", F.coalesce("_removed", F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     return joined.select("_row", F.when(F.size("removed") > 0, kept).otherwise(F.col("_text")).alias("text"), "lines", "removed")

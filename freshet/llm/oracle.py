@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import string
 
-from .quality import CLASSES, COMMON_WORDS, Rules, vocabulary
+from .decontaminate import SLOP
+from .quality import CLASSES, COMMON_WORDS, EDGES, Rules, vocabulary
 
 _WORDS = "regexp_extract_all(translate(coalesce({0}, ''), '" + string.ascii_uppercase + "', '" + string.ascii_lowercase + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -16,10 +17,17 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win F
 dk AS (SELECT doc_id, w, z.n, unnest(range(1, len(w) - z.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM n) z WHERE len(w) >= z.n),
 hits AS (SELECT DISTINCT doc_id, item_id, k, iw.n FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM dk) x JOIN iw ON iw.n = x.n AND iw.win = x.win),
 spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+pos AS (SELECT doc_id, w[p] AS term, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+counts AS (SELECT term, count(*) AS c FROM pos GROUP BY term),
+wt AS (SELECT win, n, string_split(win, ' ')[k] AS term, k FROM (SELECT DISTINCT win, n, unnest(range(1, n + 1)) AS k FROM iw)),
+ranked AS (SELECT win, list({{'c': c, 'k': k, 'term': term}} ORDER BY c, k) AS r FROM wt JOIN counts USING (term) GROUP BY win, n HAVING count(*) = n),
+near AS (SELECT DISTINCT win, a.doc_id FROM ranked JOIN pos a ON a.term = r[1].term JOIN pos b ON b.doc_id = a.doc_id AND b.term = coalesce(r[2].term, r[1].term)
+  WHERE abs((b.p - a.p) - coalesce(r[2].k - r[1].k, 0)) <= CASE WHEN len(r) > 1 THEN {SLOP} ELSE 0 END),
+near_items AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM near JOIN iw USING (win) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)"""
+sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)"""
 
 LINE_DEDUP = """
 WITH d AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
@@ -72,19 +80,21 @@ def quality_sql(rules: Rules = Rules()) -> str:
 
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-c AS (SELECT *, len(w) AS n, list_transform({_listed(vocabulary())}, lambda v: len(list_filter(w, lambda x: x = v))) AS common,
-  [{counted}, strlen(t) - length(t)] AS counted, length(array_to_string(w, '')) AS word_chars FROM t),
+v AS (SELECT *, list_transform(w, lambda x: translate(trim(x, {_quote(EDGES)}), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS folded FROM t),
+c AS (SELECT *, len(w) AS n, list_transform({_listed(vocabulary())}, lambda y: len(list_filter(folded, lambda x: x = y))) AS common,
+  [{counted}, strlen(t) - length(t)] AS counted, length(array_to_string(w, '')) AS word_chars FROM v),
 f AS (SELECT *, list_append(common, n - list_sum(common)) AS hw, list_append(counted, greatest(0, word_chars - list_sum(counted))) AS hc FROM c),
-r AS (SELECT lang, list_transform(range(1, {words + 1}), lambda i: sw[i] / list_sum(sw)::DOUBLE) AS rw, list_transform(range(1, {classes + 1}), lambda i: sc[i] / list_sum(sc)::DOUBLE) AS rc
-  FROM (SELECT lang, [{", ".join(f"sum(hw[{i}])" for i in range(1, words + 1))}] AS sw, [{", ".join(f"sum(hc[{i}])" for i in range(1, classes + 1))}] AS sc
-  FROM f WHERE n >= {rules.word_guard} AND lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) GROUP BY lang)),
-far AS (SELECT doc_id, min({distance("hw", "n", "rw")}) AS dw, min({distance("hc", "list_sum(hc)", "rc")}) AS dc FROM f, r WHERE n >= 5 GROUP BY doc_id),
 k AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS c FROM (SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS win FROM (SELECT *, unnest(range(1, n - 3)) AS k FROM f WHERE n >= 5))),
 rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM k WHERE c > 1) GROUP BY doc_id),
-b AS (SELECT *, coalesce(r, 0) AS n_repeat, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM f LEFT JOIN rep USING (doc_id) LEFT JOIN far USING (doc_id))
+e AS (SELECT *, coalesce(r, 0) AS n_repeat, n < {rules.min_words} OR 100 * coalesce(r, 0) > {rules.max_repeat_percent} * n AS failed FROM f LEFT JOIN rep USING (doc_id)),
+r AS (SELECT lang, list_transform(range(1, {words + 1}), lambda i: sw[i] / list_sum(sw)::DOUBLE) AS rw, list_transform(range(1, {classes + 1}), lambda i: sc[i] / list_sum(sc)::DOUBLE) AS rc
+  FROM (SELECT lang, [{", ".join(f"sum(hw[{i}])" for i in range(1, words + 1))}] AS sw, [{", ".join(f"sum(hc[{i}])" for i in range(1, classes + 1))}] AS sc
+  FROM e WHERE n >= {rules.word_guard} AND NOT failed AND lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) GROUP BY lang)),
+far AS (SELECT doc_id, min({distance("hw", "n", "rw")}) AS dw, min({distance("hc", "list_sum(hc)", "rc")}) AS dc FROM f, r WHERE n >= 5 AND (f.lang IS NULL OR f.lang IN (SELECT lang FROM r)) GROUP BY doc_id),
+b AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM e LEFT JOIN far USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words, n < {rules.min_words} OR 100 * n_repeat > {rules.max_repeat_percent} * n AS base_failed,
-NOT (n < {rules.min_words} OR 100 * n_repeat > {rules.max_repeat_percent} * n) AND NOT (n >= {rules.word_guard} AND coalesce(dw > {rules.max_word_distance}, false))
+CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words, failed AS base_failed,
+NOT failed AND NOT (n >= {rules.word_guard} AND coalesce(dw > {rules.max_word_distance}, false))
 AND NOT (word_chars >= {rules.char_guard} AND coalesce(dc > {rules.max_char_distance}, false)) AS kept FROM b"""
 
 

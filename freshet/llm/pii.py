@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokenization import in_parts
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *KINDS)
 #: Rows of a labelled table that training accepts; it is fitted on the driver and sent to the executors.
@@ -25,7 +29,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
-_CORE = re.compile(r"[\"'<\[{]*(.*?)[.,;:!?\"'>\]}]*", re.S)
+_OPENING, _CLOSING = "\"'<[{", ".,;:!?\"'>]}"
 
 Span = tuple[str, int, int]
 
@@ -95,8 +99,9 @@ def base_spans(text: str) -> list[Span]:
 
 def core(token: str) -> tuple[int, int]:
     """Where a token's body lies without quotes, brackets and end marks around it."""
-    body = _CORE.fullmatch(token)
-    return (body.start(1), body.end(1)) if body.end(1) > body.start(1) else (0, len(token))
+    begin = len(token) - len(token.lstrip(_OPENING))
+    end = begin + len(token[begin:].rstrip(_CLOSING))
+    return (begin, end) if end > begin else (0, len(token))
 
 
 def plain(token: str) -> bool:
@@ -104,9 +109,14 @@ def plain(token: str) -> bool:
     return "@" not in token and not _DIGIT.search(token)
 
 
+def marks_only(token: str) -> bool:
+    """One or two marks, as between the groups of a number; they belong to the chain of the tokens around them."""
+    return len(token) <= 2 and not any(c.isalnum() for c in token)
+
+
 def shape(body: str) -> str:
     """X, x and 9 for capitals, other letters and digits; runs of letters count once, of digits up to five."""
-    marks = "".join("9" if c in "0123456789" else ("X" if c.isupper() else "x") if c.isalpha() else c for c in body[:200])
+    marks = "".join("9" if c in "0123456789" else ("X" if c.isupper() else "x") if c.isalpha() else c for c in body)
     return re.sub(r"9{5,}", "99999", re.sub(r"[Xx]+", "x", marks))
 
 
@@ -114,7 +124,7 @@ def coarse(token: str | None) -> str:
     if token is None:
         return "edge"
     if plain(token):
-        return "word"
+        return "mark" if marks_only(token) else "word"
     if "@" in token:
         return "at"
     return "number" if not any(c.isalpha() for c in token) else "mixed"
@@ -128,6 +138,7 @@ def features(tokens: Sequence[str], k: int, before: str | None, after: str | Non
     last = tokens[k - 1] if k else before
     following = tokens[k + 1] if k + 1 < len(tokens) else after
     found = [f"shape={shape(body)}", f"kind={coarse(tokens[k])}", f"digits={min(len(digits), 20)}", f"last={coarse(last)}", f"next={coarse(following)}"]
+    found.append(f"lead={'none' if not digits else '01' if digits[0] in '01' else '29'}")
     found.append(f"last shape={shape(last[slice(*core(last))])}" if k else "last shape=none")
     found.append(f"next shape={shape(following[slice(*core(following))])}" if k + 1 < len(tokens) else "next shape=none")
     if 13 <= len(digits) <= 19 and len(digits) == len(body.replace("-", "")):
@@ -181,13 +192,21 @@ def labelled_table(seed: int = 7, each: int = 40) -> list[Sentence]:
         ("phone", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"),
         ("phone", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"),
         ("phone", lambda: f"+{digits(11)}"),
+        ("phone", lambda: f"{digits(3)} - {digits(3)} - {digits(4)}"),
+        ("phone", lambda: f"({digits(3)}) / {digits(3)} {digits(4)}"),
+        ("O", lambda: card(16, False)),
+        ("O", lambda: "1" + digits(12)),
+        ("O", lambda: "20" + digits(12)),
+        ("O", lambda: digits(rng.randint(17, 24))),
+        ("O", lambda: f"{rng.randint(1, 99)} - {rng.randint(1, 2030)}"),
+        ("O", lambda: f"{rng.randint(1, 9)} / {rng.randint(1, 99)}"),
+        ("O", lambda: f"| {rng.randint(1, 999)} | {rng.randint(1, 99999)} |"),
         ("O", lambda: str(rng.randint(1, 2100))),
         ("O", lambda: f"{rng.randint(1, 12)}.{rng.randint(0, 9)}"),
         ("O", lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}"),
         ("O", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"),
         ("O", lambda: f"{rng.randint(10, 23)}:{rng.randint(10, 59)}"),
         ("O", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))),
-        ("O", lambda: card(16, False)),
         ("O", lambda: digits(rng.choice((5, 6, 7, 8, 9, 10, 11, 12)))),
         ("O", lambda: f"{rng.randint(1, 999)},{digits(3)}"),
         ("O", lambda: f"({rng.randint(1, 2100)})"),
@@ -211,15 +230,14 @@ def labelled_table(seed: int = 7, each: int = 40) -> list[Sentence]:
 
 
 def chains(tokens: Sequence[str]) -> Iterator[tuple[int, int]]:
-    """Runs [begin, end) of tokens that aren't plain."""
+    """Runs [begin, end) of tokens that aren't plain, with single marks between two such tokens."""
     begin = None
     for k, token in enumerate([*tokens, "x"]):
-        if plain(token):
-            if begin is not None:
-                yield begin, k
+        if not plain(token):
+            begin = k if begin is None else begin
+        elif begin is not None and not (marks_only(token) and tokens[k - 1 : k] and not plain(tokens[k - 1]) and k + 1 < len(tokens) and not plain(tokens[k + 1])):
+            yield begin, k
             begin = None
-        elif begin is None:
-            begin = k
 
 
 def chain_features(tokens: Sequence[str], begin: int, end: int) -> list[list[str]]:
@@ -299,7 +317,7 @@ def begins_anew(token: str) -> bool:
     a, b = core(token)
     body = token[a:b]
     digits = re.sub(r"[^0-9]", "", body)
-    return body[:1] == "+" or "@" in body or (len(digits) >= 13 and luhn(digits)) or next(iter(addresses(body)), None) == ("ip", 0, len(body))
+    return body[:1] == "+" or "@" in body or len(digits) >= 13 or next(iter(addresses(body)), None) == ("ip", 0, len(body))
 
 
 def tagged_spans(texts: Sequence[str], model: Model, width: int = 64) -> list[list[Span]]:
@@ -342,15 +360,24 @@ def tagged_spans(texts: Sequence[str], model: Model, width: int = 64) -> list[li
 
 def all_spans(base: Sequence[Span], added: Sequence[Span]) -> list[Span]:
     """Base spans and the added ones that touch none of them, by kind and start."""
-    kept = [s for s in added if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    kept, taken = [], sorted((b[1], b[2]) for b in base)
+    reach = list(itertools.accumulate((end for _, end in taken), max))
+    for s in added:
+        # of the base spans that begin before this one ends, the farthest end decides
+        k = bisect_left(taken, (s[2],))
+        if not k or reach[k - 1] <= s[1]:
+            kept.append(s)
     return sorted({*base, *kept}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def personal_data(docs: DataFrame, table: Sequence[Sentence] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, base and spans: arrays of (kind, begin, end) in code points of each row's whole text.
 
-    ``base`` has the exact patterns' matches; ``spans`` has these and what the model adds beside them. A null text has
-    none; equal rows have equal spans. The model is trained here, from the labelled table, and has bounded size.
+    ``base`` has the exact patterns' matches; ``spans`` has these and what the model adds beside them. A null or empty text
+    has none; equal rows have equal spans, an empty table gives no rows, and other columns play no part. The work is
+    linear in a text, and very long ones are taken a few at a time. The model is trained here, from the labelled table, and
+    has bounded size. It tags tokens with a digit or @ and single marks between such tokens, so that data written in
+    words alone are not found.
     """
     model = train(labelled_table() if table is None else table)
     span = pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
@@ -358,10 +385,12 @@ def personal_data(docs: DataFrame, table: Sequence[Sentence] | None = None, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            base = [base_spans(t) for t in texts]
-            spans = [all_spans(b, a) for b, a in zip(base, tagged_spans(texts, model), strict=True)]
-            pack = lambda rows: pa.array([[dict(zip(("kind", "begin", "end"), s, strict=True)) for s in row] for row in rows], pa.list_(span))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pack(base), pack(spans)], ["doc_id", "base", "spans"])
+            for begin, end in in_parts(texts):
+                part = texts[begin:end]
+                base = [base_spans(t) for t in part]
+                spans = [all_spans(b, a) for b, a in zip(base, tagged_spans(part, model), strict=True)]
+                pack = lambda rows: pa.array([[dict(zip(("kind", "begin", "end"), s, strict=True)) for s in row] for row in rows], pa.list_(span))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pack(base), pack(spans)], ["doc_id", "base", "spans"])
 
     kind, shape_ = docs.schema[id_column].dataType.simpleString(), "array<struct<kind:string,begin:bigint,end:bigint>>"
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, base {shape_}, spans {shape_}")

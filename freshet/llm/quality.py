@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import scratch, settled
 
 # Frequent short words of four languages, in lower case.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "with"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "qui"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "ist", "im"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "por", "un"],
+    "en": ["the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "with", "as", "be", "at", "by", "this", "from", "or", "not"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "qui", "dans", "est", "pour", "par", "sur", "pas", "au", "il"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "ist", "im", "dem", "nicht", "ein", "eine", "auf", "als", "auch", "es"],
+    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "por", "un", "con", "no", "una", "su", "para", "es", "al", "lo"],
 }
+# Marks that don't belong to the word at whose edge they stand.
+EDGES = ".,;:!?\"'()[]{}<>*_-«»“”„¿¡…"
 # ASCII character classes that are counted; small letters are what is left.
 CLASSES = {
     "capital": "[A-Z]",
@@ -61,10 +64,15 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def histograms(worded: DataFrame) -> DataFrame:
-    """Adds _common (count of each vocabulary word, then of the rest) and _chars (count of each class, then of the rest)."""
+    """Adds _common (count of each vocabulary word, then of the rest) and _chars (count of each class, then of the rest).
+
+    Words count without marks at their edges and with A-Z in small letters.
+    """
     listed = F.array(*[F.lit(w) for w in vocabulary()])
-    longest = max(len(w.encode()) for w in vocabulary())
-    short = F.filter("_words", lambda w: F.octet_length(w) <= longest)
+    longest = max(len(w) for w in vocabulary())
+    # what has letters and is too long stays too long without its edges, so only short words are folded one by one
+    bare = F.transform("_words", lambda w: F.btrim(w, F.lit(EDGES)))
+    short = F.transform(F.filter(bare, lambda w: F.length(w) <= longest), lambda w: F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
     places = F.filter(F.transform(short, lambda w: F.array_position(listed, w)), lambda p: p > 0)
     placed = worded.withColumn("_places", places)
     each = F.transform(F.sequence(F.lit(1), F.lit(len(vocabulary()))), lambda k: (F.size("_places") - F.size(F.array_remove("_places", k.cast("long")))).cast("long"))
@@ -75,13 +83,19 @@ def histograms(worded: DataFrame) -> DataFrame:
     return counted.withColumn("_chars", F.concat("_counted", F.array(rest))).drop("_places", "_counted")
 
 
+def fails(rules: Rules) -> Column:
+    """The base rules' verdict on a measured row."""
+    return (F.col("_n_words") < rules.min_words) | (100 * F.col("_n_repeat") > rules.max_repeat_percent * F.col("_n_words"))
+
+
 def references_of(measured: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[float], list[float]]]:
-    """Word and character distributions of each listed language, summed over all its long enough documents.
+    """Word and character distributions of each listed language, summed over all its long enough documents that pass the
+    base rules.
 
-    ``measured`` has _lang and the columns of ``histograms``. Only sums leave the executors: languages times bins numbers,
-    whatever the input's size. A language without documents has no reference.
+    ``measured`` has the columns of ``measure``. Only sums leave the executors: languages times bins numbers, whatever the
+    input's size. A language without documents has no reference.
     """
-    used = measured.filter(F.col("_lang").isin(list(COMMON_WORDS)) & (F.col("_n_words") >= rules.word_guard))
+    used = measured.filter(F.col("_lang").isin(list(COMMON_WORDS)) & (F.col("_n_words") >= rules.word_guard) & ~fails(rules))
     bins = {"_common": len(vocabulary()) + 1, "_chars": len(CLASSES) + 2}
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in bins.items() for i in range(n)]
     found = {}
@@ -93,9 +107,7 @@ def references_of(measured: DataFrame, rules: Rules = Rules()) -> dict[str, tupl
 
 def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """``references_of`` plain documents."""
-    if lang not in docs.columns:
-        return {}
-    return references_of(histograms(with_words(docs.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_given")), "_given")), rules)
+    return references_of(measure(docs, text, lang, []), rules) if lang in docs.columns else {}
 
 
 def jensen_shannon(counts: Column, total: Column, reference: list[float]) -> Column:
@@ -119,8 +131,10 @@ def repeated_words(worded: DataFrame) -> DataFrame:
     equal high bits are compared word by word. The work is n log n in the text's words.
     """
     n = F.col("_n_words")
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)).cast("int")), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
-    hashed = worded.withColumn("_hashes", hashes)
+    worded = worded.withColumn("_each", F.transform("_words", lambda w: F.xxhash64(w)))
+    first = F.slice("_each", F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0)).cast("int"))
+    hashes = F.when(n >= WINDOW, F.transform(first, lambda h, i: F.xxhash64(h, *[F.get("_each", i + k) for k in range(1, WINDOW)])))
+    hashed = worded.withColumn("_hashes", hashes).drop("_each")
     low = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) + 1).cast("long") - 1
     hashed = hashed.withColumn("_again", F.size(F.array_distinct("_hashes")) < F.size("_hashes")).withColumn("_low", low)
     packed = F.sort_array(F.transform("_hashes", lambda h, i: h.bitwiseAND(F.bitwise_not("_low")).bitwiseOR(i.cast("long"))))
@@ -141,8 +155,9 @@ def repeated_words(worded: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, text: str = "text", lang: str = "lang", kept: list[str] | None = None) -> DataFrame:
     """_row (the columns ``kept`` of ``docs``, by default all), _lang, the histograms _common and _chars with _n_words and
     _n_letters, and the counts _word_chars, _n_symbols, _n_dup_lines and _n_repeat. A null text counts as empty."""
-    language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if kept is None else kept)]).alias("_row"), language.alias("_lang"), F.col(text).alias("_given"))
+    language = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    own = [F.col(f"`{c}`") for c in (docs.columns if kept is None else kept)]
+    given = docs.select((F.struct(*own) if own else F.lit(None)).alias("_row"), language.alias("_lang"), F.col(f"`{text}`").alias("_given"))
     measured = repeated_words(histograms(with_words(given, "_given")))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(SPACE))) > 0)
     measured = measured.withColumn("_lines", lines)
@@ -163,12 +178,13 @@ def verdict(measured: DataFrame, rules: Rules, references: dict[str, tuple[list[
         if not references:
             return F.lit(None).cast("double")
         each = [jensen_shannon(F.col(column), F.col(total), ref[at]) for _, ref in sorted(references.items())]
-        return F.when(guard, F.least(*each) if len(each) > 1 else each[0])
+        known = F.coalesce(F.col("_lang").isin(list(references)), F.lit(True))
+        return F.when(guard & known, F.least(*each) if len(each) > 1 else each[0])
 
     word = nearest("_common", "_n_words", 0, n >= rules.word_guard)
     char = nearest("_chars", "_n_letters", 1, F.col("_word_chars") >= rules.char_guard)
     judged = measured.withColumn("_word_distance", word).withColumn("_char_distance", char)
-    failed = (n < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n)
+    failed = fails(rules)
     far = F.coalesce(F.col("_word_distance") > rules.max_word_distance, F.lit(False)) | F.coalesce(F.col("_char_distance") > rules.max_char_distance, F.lit(False))
     quality = F.struct(
         n.alias("n_words"),
@@ -187,10 +203,10 @@ def verdict(measured: DataFrame, rules: Rules, references: dict[str, tuple[list[
 def judge(docs: DataFrame, rules: Rules = Rules(), references: dict[str, tuple[list[float], list[float]]] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """_row, a struct of all columns of ``docs``, whatever their names, and ``quality`` (see ``verdict``).
 
-    Distances are to the nearest language reference, so a wrong or null ``lang`` does no harm; they are null below the
-    guards, where a histogram is too small to judge, and where there is no reference. ``references`` default to those
-    of ``docs``, which then are read twice. A null or empty text has no words and fails the base rule. Equal rows get
-    equal verdicts.
+    Distances are to the nearest language reference, so a null ``lang``, or one taken for another, does no harm; they are
+    null below the guards, where a histogram is too small to judge, and for a ``lang`` that has no reference.
+    ``references`` default to those of ``docs``, which then are read twice. A null or empty text has no words and fails
+    the base rule. Equal rows get equal verdicts; an empty table gives no rows.
     """
     references = language_references(docs, rules, text, lang) if references is None else references
     return verdict(measure(docs, text, lang), rules, references)
@@ -203,7 +219,13 @@ def judge_once(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the same columns."""
-    # a filter on a column that isn't deterministic stays above the verdict; pushed below, it would repeat all its steps
-    judged = judge(docs, rules).withColumn("_place", F.monotonically_increasing_id())
-    return judged.filter(F.col("quality.kept") & (F.col("_place") >= 0)).select("_row.*")
+    """The rows of ``docs`` that the rules keep, with the same columns.
+
+    Texts are measured once: rows are written with their counts into the shared folder, columns apart, so that the
+    references are summed and verdicts found without the texts, and no row is shuffled.
+    """
+    path = scratch(docs.sparkSession, "measured")
+    measure(docs).write.parquet(path)
+    measured = docs.sparkSession.read.parquet(path)
+    judged = verdict(measured, rules, references_of(measured, rules))
+    return judged.filter("quality.kept").select("_row.*")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .chat_format import format_preferences, last_reply_pairs
-from .common import scratch, table
+from .chat_format import format_preferences, stale_reply_pairs
+from .common import scratch, sent_if_small, table
 from .decontaminate import contamination, words_of
 from .line_dedup import cut_lines, repeated_lines
 from .packing import pack_documents
@@ -52,7 +52,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    formatted = format_preferences(last_reply_pairs(table(spark, sf_dir, "conversations")))
+    formatted = format_preferences(stale_reply_pairs(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["begin"].cast("string"), x["end"].cast("string"))), ",")
     return formatted.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
 
@@ -62,23 +62,31 @@ _MASK = """coalesce(array_to_string(list_filter(list_transform(range(1, len({0})
   (coalesce(list_sum(list_transform({0}[1:i-1], lambda t: length(coalesce(t.role, '')) + length(coalesce(t.text, '')) + 13)), 0) + length({0}[i].role) + 5)::BIGINT || '-' ||
   list_sum(list_transform({0}[1:i], lambda t: length(coalesce(t.role, '')) + length(coalesce(t.text, '')) + 13))::BIGINT END), lambda x: x IS NOT NULL), ','), '')"""
 OP2_SQL = f"""WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
-r AS (SELECT *, list_filter(turns, lambda t: t.role = 'assistant') AS replies,
-  list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS last FROM c),
-p AS (SELECT conv_id AS pair_id, turns[1:last] AS a,
-  list_append(turns[1:last - 1], {{'role': 'assistant', 'text': coalesce(replies[len(replies) - 1].text, '')}}) AS b FROM r WHERE len(replies) > 0),
-n AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, len(a)) AS k FROM p),
+r AS (SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS spots FROM c),
+q AS (SELECT *, coalesce(conv_id, 0) % len(spots) AS m FROM r),
+j AS (SELECT *, CASE WHEN m < 0 THEN m + len(spots) ELSE m END + 1 AS j FROM q),
+p AS (SELECT conv_id AS pair_id, turns AS a, CASE WHEN len(spots) = 0 THEN turns
+  ELSE list_append(turns[1:spots[j] - 1], {{'role': 'assistant', 'text': CASE WHEN j > 1 THEN coalesce(turns[spots[j - 1]].text, '') ELSE '' END}}) END AS b FROM j),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, least(len(a), len(b))) AS k FROM p),
 x AS (SELECT pair_id, k, a[1:k] AS pre, a[k + 1:] AS ra, b[k + 1:] AS rb FROM n)
 SELECT pair_id, k::INTEGER AS n_prompt_turns, {_RENDER.format("pre")} AS prompt, {_RENDER.format("ra")} AS chosen, {_RENDER.format("rb")} AS rejected,
 {_MASK.format("ra")} AS chosen_mask, {_MASK.format("rb")} AS rejected_mask FROM x"""
 
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = contamination(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", "_id")
-    sizes = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    hits = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "item_ids", "near_ids", "n_hit")
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return sizes.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    return sizes.join(sent_if_small(hits), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        F.coalesce(F.size("near_ids"), F.lit(0)).cast("long").alias("n_near_items"),
     )
 
 

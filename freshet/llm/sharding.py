@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +12,9 @@ from .common import settled
 
 #: Rows that one source bucket or one slot bucket holds on average; a sort inside a bucket is one task's work.
 BUCKET_ROWS = 50_000
-#: Source buckets at least, so that small tables are spread too.
-LEAST_BUCKETS = 64
+#: Source buckets at least, so that small tables are spread too, and at most, so that the driver draws a bounded number of
+#: counts: beyond 3 * 10**9 rows the buckets grow instead.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 65_536
 
 
 def hypergeometric(rng: random.Random, total: int, marked: int, drawn: int) -> int:
@@ -76,7 +76,7 @@ def assign_shards(rows: DataFrame, identity: list[Column], shards: int = 16, see
     """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard): a uniform shuffle with exact shard sizes.
 
     ``identity`` are the columns that tell rows apart; equal rows are interchangeable and each gets its own place.
-    The driver draws one count for each bucket and shard; rows move twice, first within hashed source buckets,
+    The driver draws one count for each bucket, of ``MOST_BUCKETS`` at most, and shard; rows move twice, first within hashed source buckets,
     then to their shard's slot buckets, and each bucket sorts ``bucket_rows`` rows on average.
     Empty tables give no rows; nulls in ``identity`` are values like any other.
     """
@@ -84,7 +84,7 @@ def assign_shards(rows: DataFrame, identity: list[Column], shards: int = 16, see
     mark = F.xxhash64(F.lit(seed), *identity)
     marked = settled(rows.withColumn("_mark", mark).withColumn("_copy", F.xxhash64(F.lit(seed + 1), mark)))
     total = marked.count()
-    buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_rows))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil(total / bucket_rows)))
     ties = [c for c in rows.columns]
     placed = marked.withColumn("_bucket", F.pmod("_mark", F.lit(buckets)).cast("int"))
     counts = {r["_bucket"]: r["count"] for r in placed.groupBy("_bucket").count().collect()}
@@ -140,8 +140,3 @@ def write_shards(docs: DataFrame, places: DataFrame, path: str, files_per_shard:
         .partitionBy("shard")
         .parquet(path)
     )
-
-
-def shard_of(cuts: list[int], rank: int) -> int:
-    """The shard that a bucket's row of this rank goes to (the rule that the plan applies in SQL)."""
-    return bisect_right(cuts, rank)

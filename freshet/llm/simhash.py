@@ -10,10 +10,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, sent_if_small, settled, spread
+from .common import arrow_batches, joined_by, sent_if_small, settled, spread
 from .components import connected
 from .tokenization import in_parts
 
@@ -23,7 +23,7 @@ BUCKET_PAIRS = 4096
 #: Shingle sets that share a key up to which all pairs are compared, parts of larger buckets with a centre each, and rounds
 #: of centres after which all pairs of what is left are compared.
 FEW_SETS, CENTRES, CENTRE_ROUNDS = 16, 8, 8
-#: Shingles known to be common at most, of a quarter of the documents.
+#: Shingles known to be common at most.
 COMMON_SHINGLES = 100_000
 
 
@@ -54,9 +54,8 @@ def majority_bits(hashes: np.ndarray, begins: np.ndarray, counts: np.ndarray) ->
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", second: bool = False) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row, and with ``second`` more, a fingerprint from the same
-    shingles' hashes after mixing; null and empty texts have 0. Texts don't move."""
+def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of each row; null and empty texts have 0. Texts don't move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,14 +64,11 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_column: str
                 each = [np.array(shingle_hashes(t, width, seed), np.uint64) for t in texts[begin:end]]
                 counts = np.array([len(h) for h in each])
                 hashes, begins = np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(counts) - counts
-                found = {"fp": majority_bits(hashes, begins, counts)}
-                if second:
-                    mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-                    found["more"] = majority_bits(mixed ^ (mixed >> np.uint64(29)), begins, counts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), *[pa.array(f.view(np.int64)) for f in found.values()]], ["doc_id", *found])
+                found = majority_bits(hashes, begins, counts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", more long" * second)
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 @dataclass(frozen=True)
@@ -174,27 +170,29 @@ def _star(nodes: DataFrame, radius: int) -> DataFrame:
     return ends.union(more).filter("a != b")
 
 
-def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKET_PAIRS, second: int | None = None) -> DataFrame:
-    """a, b: different components that have fingerprints within ``distance``, by probing each partition and comparing.
+def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKET_PAIRS, exact: bool = True) -> tuple[DataFrame, bool]:
+    """a, b: for each component that has a fingerprint within ``distance`` of another component's, one such component,
+    found by probing each partition and comparing; and whether any fingerprints are crowded. ``nodes`` has fp and component.
 
-    ``nodes`` has fp and component, and with ``second`` more; then a pair's second fingerprints differ by at most as many
-    bits. Where more than ``bucket_pairs`` fingerprints share a partition's bits, these are not paired with each other
-    but linked through common words (``_star``), which loses no connection; beyond a distance of 4 such words are too
-    many, and all pairs of a partition's value are compared.
+    Where more than ``bucket_pairs`` fingerprints of several components share a partition's bits, these are crowded: they
+    are compared with all others, but not with each other. Instead, each is compared with the smallest one that shares
+    its bits; with ``exact``, they are linked through common words (``_star``), which loses no connection. Beyond a
+    distance of 4 such words are too many, and all pairs of a partition's value are compared.
     """
     masks = [F.lit(_signed(g)).cast("long") for g in plan.parts]
     used = [i for i, t in enumerate(plan.thresholds) if t >= 0]
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(masks[i]).alias("key")) for i in used])
     nodes, some = nodes.withColumn("crowded", F.lit(False)), False
     if distance <= 4:
-        index = nodes.select("fp", F.explode(keys).alias("_k")).select("fp", "_k.part", "_k.key")
-        crowded = settled(index.groupBy("part", "key").count().filter(F.col("count") > bucket_pairs).select("part", "key"))
+        index = nodes.select("fp", "component", F.explode(keys).alias("_k")).select("fp", "component", "_k.part", "_k.key")
+        sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("fp", "component")).alias("lead"))
+        crowded = settled(sizes.filter((F.col("n") > bucket_pairs) & (F.col("lo") != F.col("hi"))).select("part", "key", "lead"))
         some = not crowded.isEmpty()
     if some:
-        many = index.join(crowded, ["part", "key"], "left_semi").select("fp").distinct().withColumn("_crowded", F.lit(True))
+        packed = settled(index.join(sent_if_small(crowded), ["part", "key"]))
+        many = packed.select("fp").distinct().withColumn("_crowded", F.lit(True))
         nodes = settled(nodes.drop("crowded").join(many, "fp", "left").withColumn("crowded", F.coalesce("_crowded", F.lit(False))).drop("_crowded"))
-    own = [c for c in ("component", "crowded", "more") if c in nodes.columns]
-    side = lambda name: [F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in own]]
+    side = lambda name: [F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("component", "crowded")]]
     index = nodes.select(*side("b"), F.explode(keys).alias("_k")).select("*", "_k.part", "_k.key").drop("_k")
     probes = None
     for i in used:
@@ -204,17 +202,24 @@ def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKE
 
     def met(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
         on = (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a_component"] != right["b_component"]) & (F.bit_count(left["a"].bitwiseXOR(right["b"])) <= distance)
-        if second is not None:
-            on = on & (F.bit_count(left["a_more"].bitwiseXOR(right["b_more"])) <= second)
-        return left.join(right, on & (left["a"] < right["b"]) if once else on).select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).distinct()
+        return left.join(right, on & (left["a"] < right["b"]) if once else on).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
 
     if not some:
-        return met(probes, index, True)
+        return _one_each(met(probes, index, True)), False
     pairs = met(probes.filter(~F.col("a_crowded")), index, False).union(met(probes.filter("a_crowded"), index.filter(~F.col("b_crowded")), False))
-    crowd = nodes.filter("crowded")
-    near = _star(crowd, distance // 2) if distance % 2 == 0 else _star(crowd, distance // 2).union(_odd(crowd, distance))
-    of = [crowd.select(F.col("fp").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-    return pairs.union(near.join(of[0], "a").join(of[1], "b").select("_a", "_b"))
+    if exact:
+        crowd = nodes.filter("crowded")
+        near = _star(crowd, distance // 2) if distance % 2 == 0 else _star(crowd, distance // 2).union(_odd(crowd, distance))
+        of = [crowd.select(F.col("fp").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
+        return _one_each(pairs.union(near.join(of[0], "a").join(of[1], "b").select("_a", "_b"))), True
+    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= distance) & (F.col("component") != F.col("lead.component"))
+    return _one_each(pairs.union(packed.filter(close).select("component", "lead.component"))), True
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of all pairs of components, in both directions, the smallest partner of each; pairs are reduced before they move."""
+    both = pairs.filter("a != b").select(F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_p"))
+    return both.groupBy(F.col("_p.a").alias("a")).agg(F.min("_p.b").alias("b"))
 
 
 def _odd(nodes: DataFrame, distance: int) -> DataFrame:
@@ -226,64 +231,84 @@ def _odd(nodes: DataFrame, distance: int) -> DataFrame:
     return far.join(least, "word").select("a", "b").union(near.join(least, "word").select("a", F.col("fp").alias("b"))).filter("a != b")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", bucket_pairs: int = BUCKET_PAIRS, second: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints within ``distance`` bits.
 
-    Equal fingerprints are one node. Those within two bits are connected first, through words that they share (not with
-    ``second``), then those within four, then all; each search links only fingerprints of different components, so a
-    large group of near copies costs what its members cost and not its pairs. ``second`` bounds the differing bits of a
-    second fingerprint where more than four of the first differ, as unrelated texts then would meet by chance.
-    Null doc_ids take part but name a component only where it has no other.
+    Equal fingerprints are one node. Each round probes the partitions and keeps one partner of every component that has
+    any, so a large group of near copies costs what its members cost and not its pairs; linked components are contracted,
+    and rounds go on until no two components are linked. After the first round only fingerprints with a partner take part.
+    Null and empty texts have fingerprint 0 and are linked like any other; repeated rows are linked by their fingerprint.
+    Null doc_ids take part but name a component only where it has no other. An empty table gives no rows; other columns,
+    whatever their names, play no part.
     """
     with arrow_batches(docs.sparkSession, 1000):
-        found = settled(fingerprints(docs, width, seed, id_column, text_column, second is not None))
-    more = [F.min_by("more", "doc_id").alias("more")] if second is not None else []
-    nodes = settled(spread(found.groupBy("fp").agg(F.min("doc_id").alias("first"), *more), "fp"))
-    labelled = nodes.withColumn("component", F.col("fp"))
-
-    def merged(edges: DataFrame) -> DataFrame:
-        joined = connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-        named = labelled.join(joined, "component", "left").withColumn("component", F.coalesce("_joined", "component")).drop("_joined")
-        return settled(spread(named, "fp"))
-
-    if distance >= 2 and second is None:
-        labelled = merged(_star(nodes.select("fp"), 1))
-    n, both = bit_counts(nodes)
-    for step in ([4] if distance > 4 else []) + [distance]:
-        if n:
-            labelled = merged(links(labelled.drop("first"), step, choose_plan(n, both, step), bucket_pairs, second if step > 4 else None))
+        found = settled(fingerprints(docs, width, seed, id_column, text_column))
+    nodes = settled(spread(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"))
+    component = fingerprint_components(nodes.select("fp"), distance, bucket_pairs)
+    labelled = settled(nodes.join(component, "fp"))
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = labelled.select("fp", "component").join(named, "component").select("fp", "component_id")
-    return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = joined_by(labelled.select("fp", "component"), named, "component", "inner").select("fp", "component_id")
+    return joined_by(found, of_fp, "fp", "inner").select("doc_id", "fp", "component_id")
+
+
+def fingerprint_components(nodes: DataFrame, distance: int, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """fp, component (a fingerprint) of each of these different fingerprints (checkpointed column fp)."""
+    labelled = nodes.select("fp", F.col("fp").alias("component"))
+    n, both = bit_counts(nodes)
+    if not n:
+        return labelled
+    plan, active, exact = choose_plan(n, both, distance), labelled, False
+    while True:
+        found, crowded = links(active, distance, plan, bucket_pairs, exact)
+        edges = settled(found)
+        if edges.isEmpty():
+            if exact or not crowded:
+                break
+            exact = True  # no crowded fingerprint is within reach of the smallest one with its bits any more
+            continue
+        if active is labelled and not crowded:
+            # a fingerprint without any partner now never gets one
+            active = labelled.join(edges.select(F.col("a").alias("fp")), "fp", "left_semi")
+        joined = settled(connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined")))
+        named = joined_by(settled(active), joined, "component")
+        active = settled(spread(named.withColumn("component", F.coalesce("_joined", "component")).drop("_joined"), "fp"))
+        exact = False
+    if active is labelled:
+        return labelled
+    moved = active.select("fp", F.col("component").alias("_moved"))
+    return labelled.join(moved, "fp", "left").select("fp", F.coalesce("_moved", "component").alias("component"))
 
 
 def common_shingles(docs: DataFrame, width: int, seed: int) -> np.ndarray:
-    """Hashes, sorted, of shingles that many documents (doc_id, text) have: counted over a quarter of them, batch by batch.
+    """Hashes, sorted, of the shingles that most documents (doc_id, text) have, counted in every batch where they repeat.
     They only order the shingles, so that a missed one costs time and no pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [np.unique(np.array(shingle_hashes(t or "", width, seed), np.uint64)) for t in batch.column("text").to_pylist()]
-            found, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for begin, end in in_parts(texts, 1_000_000):
+                each = [np.unique(np.array(shingle_hashes(t, width, seed), np.uint64)) for t in texts[begin:end]]
+                found, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).select("text").mapInArrow(run, "shingle long, n long")
-    most = some.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES)
+    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    most = counts.filter("n >= 8").orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES)
     return np.sort(most.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def shingle_sets(docs: DataFrame, similarity: float, width: int, seed: int, common: np.ndarray | None) -> DataFrame:
     """doc_id, node (a hash of the document's set of shingles), size, and of the set, as hashes, with ``common`` the first
-    ones in a fixed order that any set as similar must share one of (keys), common shingles last, and the number of others
-    (rare); without it all (shingles). ``docs`` has doc_id and text."""
+    ones in a fixed order that any set as similar must share one of (keys), common shingles last, the number of others
+    (rare) and the text's fingerprint (fp); without it all (shingles). ``docs`` has doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in in_parts([t or "" for t in texts], 1_000_000):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for begin, end in in_parts(texts, 1_000_000):
+                each = [np.array(shingle_hashes(t, width, seed), np.uint64) for t in texts[begin:end]]
                 nodes, sizes, rare, lists = [], [], [], []
-                for text in texts[begin:end]:
-                    own = np.unique(np.array(shingle_hashes(text or "", width, seed), np.uint64))
+                for hashes in each:
+                    own = np.unique(hashes)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
                     sizes.append(len(own))
                     if common is not None:
@@ -296,17 +321,22 @@ def shingle_sets(docs: DataFrame, similarity: float, width: int, seed: int, comm
                 places = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
                 out = {"doc_id": batch.column("doc_id").slice(begin, end - begin), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32())}
-                out |= {"shingles": flat} if common is None else {"rare": pa.array(rare, pa.int32()), "keys": flat}
+                if common is None:
+                    out["shingles"] = flat
+                else:
+                    counts = np.array([len(h) for h in each])
+                    prints = majority_bits(np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(counts) - counts, counts)
+                    out |= {"fp": pa.array(prints.view(np.int64)), "rare": pa.array(rare, pa.int32()), "keys": flat}
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, " + ("shingles array<long>" if common is None else "rare int, keys array<long>"))
+    return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, " + ("shingles array<long>" if common is None else "fp long, rare int, keys array<long>"))
 
 
 def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple[DataFrame, DataFrame]:
     """Pairs a, b of nodes of different components that share a key and can be as similar; and the members (key, place,
     node, size, rare, component) whose pairs are not all among them. No more than ``few`` (None: any number) of a key are
-    paired with each other; of more, ``CENTRES`` with all, those with the fewest rare shingles, which are most like the rest."""
+    paired with each other; of more, ``CENTRES`` (b) with all, those with the fewest rare shingles, which are most like the rest."""
     sides = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     open_ = settled(members.join(sides.select("key", "n"), "key"))
     small = open_.drop("n") if few is None else open_.filter(F.col("n") <= few).drop("n")
@@ -315,8 +345,8 @@ def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple
     # both can have at most so many shingles in common, if this key is the first that they share
     most = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
     fits = (most / (F.col("a_size") + F.col("b_size") - most) >= similarity) & (F.col("a_component") != F.col("b_component"))
-    ends = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
-    pairs = side(small, "a").join(side(small, "b"), "key").filter(fits & (F.col("a_node") < F.col("b_node"))).select(*ends)
+    ends = [F.col("a_node").alias("a"), F.col("b_node").alias("b")]
+    pairs = side(small, "a").join(side(small, "b"), "key").filter(fits & (F.col("a_node") > F.col("b_node"))).select(*ends)
     part = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
     centres = settled(large.groupBy("key", part.alias("part")).agg(F.min(F.struct("rare", "node", "size", "place", "component")).alias("c")).select("key", "c.*"))
     met = side(large, "a").join(sent_if_small(side(centres, "b")), "key").filter(fits & (F.col("a_node") != F.col("b_node"))).select(*ends)
@@ -324,14 +354,27 @@ def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple
     return pairs.union(met).distinct(), left
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", few: int = FEW_SETS) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are as similar. A node that is in very many pairs is on side b: the other
+    sets move once, and its own is joined where they are."""
+    a, b = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    met = joined_by(settled(pairs), b, "b", "inner").join(a, "a")
+    return met.filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", few: int = FEW_SETS, distance: int = 4) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over texts whose sets of shingles have a Jaccard similarity of
     ``similarity`` or more. No such pair is lost.
 
-    Shingles are in one order for all texts, by hash, those known to be common last. Of two sets as similar each has one
-    of the other's among its first 1 - ``similarity`` (and one more), so sets meet by these; the whole sets are compared
-    where they do. In buckets of over ``few`` sets some are compared with all others, and only what this leaves in
-    different components goes to the next round, so a large group of near copies costs what its members cost.
+    First, fingerprints within ``distance`` bits are searched by the pigeonhole plan, and one partner of each is verified by
+    the whole sets; that joins most copies. At a similarity of 0.8 fingerprints differ in ten bits on average, in more than
+    any search can reach, so the others meet another way: shingles are in one order for all texts, by hash, those known
+    to be common last. Of two sets as similar each has one of the other's among its first 1 - ``similarity`` (and one
+    more), so sets meet by these; the whole sets are compared where they do. In buckets of over ``few`` sets some are
+    compared with all others, and only what this leaves in different components goes to the next round, so a large group
+    of near copies costs what its members cost. Texts without words are one group; null doc_ids take part but name a
+    component only where it has no other; an empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -341,43 +384,68 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         index = found.select("node", "size", "rare", F.posexplode("keys").alias("place", "key"))
         shared = settled(index.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("key"))
         members = settled(index.join(sent_if_small(shared), "key", "left_semi").distinct().withColumn("component", F.col("node")))
-        wanted = members.select("node").distinct()
-        held = found.select("doc_id", "node").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("_first")).select("_first").distinct()
-        own = texts.join(sent_if_small(settled(held)), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+        # sets without a key in common with another have no partner, whatever their fingerprints
+        wanted = settled(members.select("node").distinct())
+        held = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("_first")).select("node", "_first.*")
+        held = settled(held)
+        firsts = settled(held.select(F.col("doc_id").alias("_first")).distinct())
+        own = texts.join(sent_if_small(firsts), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
         sets = settled(shingle_sets(own, similarity, width, seed, None).select("node", "size", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    of = [sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
-    both = F.size(F.array_intersect("a_set", "b_set"))
     labelled, turn = settled(found.groupBy("node").agg(F.min("doc_id").alias("first"))).withColumn("component", F.col("node")), 0
+
+    def merged(edges: DataFrame) -> None:
+        nonlocal labelled, members
+        joined = settled(connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined")))
+        renamed = lambda df: settled(joined_by(df, joined, "component").withColumn("component", F.coalesce("_joined", "component")).drop("_joined"))
+        labelled, members = renamed(labelled), renamed(members)
+
+    edges = settled(_alike(print_pairs(held.select("node", "fp"), distance), sets, similarity))
+    if not edges.isEmpty():
+        merged(edges)
     while not members.isEmpty():
         pairs, left = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None)
-        alike = pairs.join(of[0], "a").join(of[1], "b").filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b")
+        alike = settled(_alike(pairs, sets, similarity))
         named = [labelled.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-        edges = settled(alike.join(named[0], "a").join(named[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        edges = settled(joined_by(alike, named[1], "b", "inner").join(named[0], "a").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
         members, turn = settled(left), turn + 1
         if not edges.isEmpty():
-            joined = connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-            renamed = lambda df: df.join(joined, "component", "left").withColumn("component", F.coalesce("_joined", "component")).drop("_joined")  # noqa: E731, B023
-            labelled, members = settled(renamed(labelled)), settled(renamed(members))
+            merged(edges)
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = labelled.select("node", "component").join(named, "component").select("node", "component_id")
-    return found.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    of_node = joined_by(labelled.select("node", "component"), named, "component", "inner").select("node", "component_id")
+    return joined_by(found.select("doc_id", "node"), of_node, "node", "inner").select("doc_id", "component_id")
+
+
+def print_pairs(held: DataFrame, distance: int, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """a, b: nodes whose fingerprints are equal or within ``distance`` bits, one partner (b) for each that has any.
+    ``held`` (checkpointed) has node and fp."""
+    lead = settled(held.groupBy("fp").agg(F.min("node").alias("node")))
+    same = joined_by(held, lead.withColumnRenamed("node", "b"), "fp", "inner").filter("node != b").select(F.col("node").alias("a"), "b")
+    n, both = bit_counts(lead)
+    if not n:
+        return same
+    nodes = settled(spread(lead.select("fp", F.col("fp").alias("component")), "fp"))
+    near = settled(links(nodes, distance, choose_plan(n, both, distance), bucket_pairs, False)[0])
+    of = [lead.select(F.col("fp").alias(c), F.col("node").alias(f"_{c}")) for c in "ab"]
+    return same.union(joined_by(near, of[1], "b", "inner").join(of[0], "a").select("_a", "_b"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate group, the one with the smallest doc_id of each.
 
-    By default texts are linked from a Jaccard similarity of 0.8 on, over shingles of five words. Documents without words
-    are one group.
-    Of rows that share a doc_id the one with the smallest text stays.
+    By default texts are linked from a Jaccard similarity of 0.8 on, over shingles of five words. Documents without words,
+    null ones too, are one group. Of rows that share a doc_id the one with the smallest text stays, of equal rows one.
+    An empty table stays empty, and columns keep their values, whatever their names.
     """
     found = settled(similar_texts(docs, similarity, width, id_column=id_column, text_column=text_column))
     stands = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = settled(found.filter(~stands).select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(sent_if_small(gone), F.col(id_column).eqNullSafe(F.col("_gone")), "left_anti")
     again = settled(found.filter(stands).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").cast("string").alias("_text"))
+    kept = given.join(sent_if_small(gone), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
     if again.isEmpty():
-        return kept
-    twice = F.col(id_column).eqNullSafe(F.col("_again"))
-    order = Window.partitionBy(id_column).orderBy(text_column, F.to_json(F.struct(*docs.columns)))
-    once = kept.join(again, twice, "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
-    return kept.join(again, twice, "left_anti").unionByName(once)
+        return kept.select("_row.*")
+    twice = F.col("_id").eqNullSafe(F.col("_again"))
+    # the smallest of an aggregation, so that very many rows of one doc_id are reduced before they move
+    order = F.struct("_text", F.to_json("_row"))
+    once = kept.join(sent_if_small(again), twice, "left_semi").groupBy("_id").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    return kept.join(sent_if_small(again), twice, "left_anti").select("_row").union(once).select("_row.*")

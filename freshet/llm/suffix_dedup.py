@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, scratch, settled
+from .common import arrow_batches, arrow_path, scratch, sent_if_small, settled
 
 GRAM = 16
 #: Bytes of text whose anchors one bucket holds on average, and buckets at least.
@@ -30,8 +30,6 @@ BLOCK_BYTES = 600_000
 _PLACE = np.uint64((1 << 23) - 1)
 #: Contexts of a collection, unless one anchor has more; and bytes of its columns beyond which they are kept in files.
 COLLECTION, MEMORY_BYTES = 16_384, 256_000_000
-#: Bytes of a table that is sent to every executor at most; beyond it the same join shuffles.
-BROADCAST_BYTES = 64_000_000
 NULL_ID = -(1 << 63)
 
 _random = np.random.default_rng(20240607)
@@ -269,7 +267,7 @@ class Columns:
             self.held[name] = values
             return
         if self.system is None:
-            self.system, root = fs.FileSystem.from_uri(self.folder)
+            self.system, root = fs.FileSystem.from_uri(arrow_path(self.folder))
             self.root = f"{root}/columns-{uuid.uuid4().hex}"
             self.system.create_dir(self.root, recursive=True)
         self.held.pop(name, None)
@@ -407,12 +405,6 @@ def _merge(blobs: list[bytes], length: int) -> np.ndarray:
     return np.column_stack([begin[at], np.append(reach[at[1:] - 1], reach[-1])]).ravel()
 
 
-def _joined(left: DataFrame, right: DataFrame, size: Column, keys: list[str], how: str) -> DataFrame:
-    """A join on the keys; ``right`` (checkpointed) is sent to every executor where it is measured to be small."""
-    total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return left.join(F.broadcast(right) if total <= BROADCAST_BYTES else right, keys, how)
-
-
 def repeated_spans(docs: DataFrame, length: int = 50, collection: int = COLLECTION, memory: int = MEMORY_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, mark (a hash of the text) and spans (int64 begin and end by turns, packed) of each document with bytes that
     a ``length``-byte string covers which also begins in a document with a smaller doc_id.
@@ -443,8 +435,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, collection: int = COLLECTI
                     text = row["text"]
                     yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array([row["mark"]] * len(at), pa.int64()), pa.array(at), pa.array([text[i:j] for i, j in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())], ["group", "doc_id", "mark", "pos", "context"])
 
-        bytes_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
-        met = _joined(docs, asked, 2 * bytes_of("asked") + 64, ["doc_id", "mark"], "inner").select("doc_id", "mark", "text", "asked", "groups")
+        met = docs.join(sent_if_small(asked), ["doc_id", "mark"]).select("doc_id", "mark", "text", "asked", "groups")
         contexts = met.mapInArrow(fetch, "group long, doc_id long, mark long, pos long, context binary")
         folder = scratch(spark, "suffixes")
         compared = contexts.repartition("group").sortWithinPartitions("group").mapInArrow(lambda b: _compare(b, length, folder, collection, memory), "doc_id long, mark long, spans binary")
@@ -482,5 +473,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             ids = [None if d == NULL_ID else d for d in batch.column("doc_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    met = _joined(named, spans, F.octet_length("spans") + 64, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    met = named.join(sent_if_small(spans), ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
     return met.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, arrow_path
 from .tokenization import SpacedPieces, encoder, in_parts
 
 MAGIC = b"FRSTS8B1"
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     as empty. ``path`` has to be a URI that executors can write to (a file system that pyarrow knows).
     """
     spark = docs.sparkSession
-    system, folder = fs.FileSystem.from_uri(path)
+    system, folder = fs.FileSystem.from_uri(arrow_path(path))
     system.create_dir(f"{folder}/files", recursive=True)
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         from pyspark import TaskContext
 
         encode, part = encoder(tokenizer, SpacedPieces).encode, TaskContext.get().partitionId()
-        store, to = fs.FileSystem.from_uri(f"{path}/files")
+        store, to = fs.FileSystem.from_uri(arrow_path(f"{path}/files"))
         keys: list[int | None] = []
         lengths: list[int] = []
         parts: list[bytes] = []

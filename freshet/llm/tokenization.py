@@ -33,7 +33,9 @@ class Pieces(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text with the name of an added token is encoded as a whole, so that it gets that token's id as by the library
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.begins = tuple({a[:2] for a in self.added})
         self.model, self.older = self.tokenizer.model, {}
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.characters = byte_characters()
@@ -60,7 +62,14 @@ class Pieces(dict):
         if len(self) > self.remembered:
             self.older = dict(self)
             self.clear()
-        return [self.text(t) for t in texts]
+        return [self.whole(t) if self.named(t) else self.text(t) for t in texts]
+
+    def named(self, text: str) -> bool:
+        """Whether an added token's name may be in the text."""
+        if not any(b in text for b in self.begins):
+            return False
+        small = text.lower()
+        return any(a in small for a in self.added)
 
 
 def latin(text: str) -> bool:

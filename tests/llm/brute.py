@@ -11,6 +11,7 @@ import xxhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = " \t\n\x0b\f\r"
+EDGES = ".,;:!?\"'()[]{}<>*_-«»“”„¿¡…"
 
 
 def corpus(seed=1, n=60):
@@ -166,14 +167,14 @@ def verdicts(rows, rules, vocabulary, common, classes):
     for doc, text, lang, *_ in rows:
         t = text or ""
         own = re.findall("[^\x20\x09-\x0d]+", t)
-        counts = Counter(own)
+        counts = Counter("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w.strip(EDGES)) for w in own)
         by_word = [counts[w] for w in vocabulary]
         by_class = [len(re.findall(p, t)) for p in classes.values()] + [len(t.encode()) - len(t)]
         letters = sum(map(len, own))
         histograms[doc] = (by_word + [len(own) - sum(by_word)], by_class + [max(0, letters - sum(by_class))], len(own), letters, lang)
     references = {}
     for lang in common:
-        used = [h for h in histograms.values() if h[4] == lang and h[2] >= rules.word_guard]
+        used = [h for h, r in zip(histograms.values(), rows, strict=True) if h[4] == lang and h[2] >= rules.word_guard and not base_counts(r[1])[5]]
         if used:
             references[lang] = [np.sum([h[i] for h in used], axis=0) / max(1, np.sum([h[i] for h in used])) for i in (0, 1)]
 
@@ -184,38 +185,52 @@ def verdicts(rows, rules, vocabulary, common, classes):
 
     kept = set()
     for doc, text, *_ in rows:
-        words_, chars, n, letters, _ = histograms[doc]
-        far = references and n >= rules.word_guard and min(distance(words_, r[0]) for r in references.values()) > rules.max_word_distance
-        odd = references and letters >= rules.char_guard and min(distance(chars, r[1]) for r in references.values()) > rules.max_char_distance
+        words_, chars, n, letters, lang = histograms[doc]
+        known = references and (lang is None or lang in references)
+        far = known and n >= rules.word_guard and min(distance(words_, r[0]) for r in references.values()) > rules.max_word_distance
+        odd = known and letters >= rules.char_guard and min(distance(chars, r[1]) for r in references.values()) > rules.max_char_distance
         if not (base_counts(text)[5] or far or odd):
             kept.add(doc)
     return kept
 
 
-def second_print(text, width, seed=42):
-    """The second fingerprint of near-duplicate filtering."""
-    raw = (text or "").encode().lower().split()
-    hashes = []
-    for k in range(max(1, len(raw) - width + 1)) if raw else []:
-        h = xxhash.xxh64_intdigest(b" ".join(raw[k : k + width]), seed)
-        h = (h ^ h >> 32) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-        hashes.append(h ^ h >> 29)
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+def alike_groups(rows, similarity=0.8, width=5):
+    """The smallest doc_id reachable over texts whose shingle sets are as similar, pair by pair."""
+    sets = {}
+    for doc, text, *_ in rows:
+        raw = (text or "").encode().lower().split()
+        sets[doc] = {b" ".join(raw[k : k + width]) for k in range(max(1, len(raw) - width + 1))} if raw else set()
+    return components(sets, lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
 
 
-def pipeline(rows, items, rules, vocabulary, common, classes, distance=8, width=5, second=14):
+def near_items(rows, items, n=10, slop=2):
+    """For each doc_id, the items with a window whose two rarest terms are in place but for ``slop`` words."""
+    texts = {d: words(t) for d, t, *_ in rows}
+    counts = Counter(w for own in texts.values() for w in own)
+    out = defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        size = min(n, len(w))
+        for k in range(len(w) - size + 1 if w else 0):
+            window = w[k : k + size]
+            if all(counts[x] for x in window):
+                rarest = sorted((counts[x], at, x) for at, x in enumerate(window))
+                (_, a, x), (_, b, y) = rarest[0], rarest[min(1, size - 1)]
+                for doc, own in texts.items():
+                    for p in [p for p, z in enumerate(own) if z == x]:
+                        spots = range(max(0, p + b - a - slop), p + b - a + slop + 1) if size > 1 else [p]
+                        if any(q < len(own) and own[q] == y for q in spots):
+                            out[doc].add(str(item))
+    return {d: sorted(v) for d, v in out.items()}
+
+
+def pipeline(rows, items, rules, vocabulary, common, classes):
     """doc_id and text that the filtering stages keep."""
     good = verdicts(rows, rules, vocabulary, common, classes)
     rows = [r for r in rows if r[0] in good]
     gone = removed_lines(rows)
     rows = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]), *rest) for d, t, *rest in rows]
-    prints = {d: (simhash(t, width), second_print(t, width)) for d, t, *_ in rows}
-
-    def linked(a, b):
-        bits = (prints[a][0] ^ prints[b][0]).bit_count()
-        return bits <= 4 or (bits <= distance and (prints[a][1] ^ prints[b][1]).bit_count() <= second)
-
-    groups = components(prints, linked)
+    groups = alike_groups(rows)
     rows = [r for r in rows if groups[r[0]] == r[0]]
     hit = decontaminated(rows, items)
     return {r[0]: r[1] for r in rows if r[0] not in hit}

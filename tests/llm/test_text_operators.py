@@ -1,12 +1,14 @@
 """Decontamination, near-duplicates, line dedup, quality rules, repeated strings: against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from freshet.llm import decontaminate, line_dedup, quality, simhash, suffix_dedup
+from freshet.llm import common, decontaminate, line_dedup, quality, simhash, suffix_dedup
 from freshet.llm.components import connected
 from freshet.llm.common import scratch
 
@@ -39,13 +41,15 @@ def items_of(rows):
 @pytest.mark.parametrize("size", [1, 3, 10])
 def test_decontamination(spark, rows, docs, size):
     items = items_of(rows)
-    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), size)
-    assert {r.doc_id: (r.n_hit, r.item_ids) for r in found.collect()} == brute.decontaminated(rows, items, size)
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), size).collect()
+    assert {r.doc_id: (r.n_hit, r.item_ids) for r in found if r.n_hit} == brute.decontaminated(rows, items, size)
+    near = brute.near_items(rows, items, size)
+    assert {r.doc_id: r.near_ids for r in found} == near and (size != 3 or sum(map(len, near.values())) > sum(len(r.item_ids) for r in found))
 
 
 def test_decontamination_shuffled_and_with_other_columns(spark, rows, wide, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", -1)
-    monkeypatch.setattr(decontaminate, "BROADCAST_CANDIDATES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    wide = wide.withColumns({c: F.lit(1) for c in ("mark", "_hit", "_doc", "_mark", "_row", "start", "window")})
     items = items_of(rows)
     hit = brute.decontaminated(rows, items)
     kept = decontaminate.decontaminate(wide, spark.createDataFrame(items, "item_id long, text string"))
@@ -59,11 +63,23 @@ def test_decontamination_edges(spark, docs):
     twice = brute.frame(spark, [(None, "x y z", None, None, None), (1, "x y z", None, None, None), (1, "x y z", None, None, None)])
     got = decontaminate.contamination(twice, spark.createDataFrame([(7, "y Z")], "item_id long, text string")).collect()
     assert sorted([(r.doc_id or 0, r.n_hit) for r in got]) == [(0, 2), (1, 2)]
+    # a phrase lies in one text, not across two that share a doc_id
+    apart = brute.frame(spark, [(1, "a b c d e f g h i nine", None, None, None), (1, "x x x x x x x x x j", None, None, None), (1, "a b c d e f g h i j", None, None, None)])
+    kept = decontaminate.decontaminate(apart, spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")).collect()
+    assert sorted(r.text[-1] for r in kept) == ["e", "j"] and len(kept) == 2
+
+
+def test_decontamination_is_linear_in_a_long_text(spark):
+    text = "the " * 20_000 + "a b c " * 7000
+    items = spark.createDataFrame([(1, "the"), (2, "a b c " * 50), (3, "the the the")], "item_id long, text string")
+    begin = time.time()
+    got = decontaminate.contamination(brute.frame(spark, [(1, text, None, None, None)]), items).first()
+    assert got.n_hit == 41_000 and got.item_ids == ["1", "2", "3"] and time.time() - begin < 60
 
 
 def test_proximity(spark, docs, rows):
     terms = spark.createDataFrame([("the",), ("of",)], "term string")
-    index = decontaminate.write_postings(docs.select("doc_id", "text"), terms, scratch(spark, "t"))
+    index = decontaminate.write_postings(decontaminate.marked(docs), terms, scratch(spark, "t"))
     pairs = spark.createDataFrame([(1, "the", "of")], "query_id int, term_a string, term_b string")
     got = {(r.doc_id, r.pos_a, r.pos_b) for r in decontaminate.proximity_matches(index, pairs, 3).collect()}
     expected = {(d, i, j) for d, t, *_ in rows for w in [brute.words(t)] for i, a in enumerate(w) if a == "the" for j in range(max(0, i - 3), min(len(w), i + 4)) if w[j] == "of"}
@@ -78,6 +94,13 @@ def test_near_duplicates(docs, rows, distance, width, bucket):
     assert {r.doc_id: r.component_id for r in got} == groups
 
 
+def groups_of(component):
+    held = {}
+    for node, name in component.items():
+        held.setdefault(name, set()).add(node)
+    return {frozenset(g) for g in held.values()}
+
+
 @pytest.mark.parametrize(("distance", "bucket"), [(4, 4096), (4, 2), (3, 1)])
 def test_links_keep_all_components(spark, distance, bucket):
     rng = np.random.default_rng(3)
@@ -86,9 +109,9 @@ def test_links_keep_all_components(spark, distance, bucket):
     nodes = spark.createDataFrame([(p, p) for p in prints], "fp long, component long")
     n, both = simhash.bit_counts(nodes)
     assert n == len(prints) and both[0, 0] == sum(p & 1 for p in prints)
-    found = connected(simhash.links(nodes, distance, simhash.choose_plan(n, both, distance), bucket))
+    found = simhash.fingerprint_components(nodes.select("fp"), distance, bucket)
     expected = brute.components(prints, lambda a, b: (a ^ b).bit_count() <= distance)
-    assert {r.node: r.component for r in found.collect()} == {a: c for a, c in expected.items() if sum(v == c for v in expected.values()) > 1}
+    assert groups_of({r.fp: r.component for r in found.collect()}) == groups_of(expected)
 
 
 @given(st.integers(1, 10**6), st.integers(0, 6), st.integers(0, 99))
@@ -99,6 +122,13 @@ def test_plans_satisfy_the_pigeonhole(n, distance, seed):
     assert sum(plan.thresholds) == distance - len(plan.parts) + 1 and sorted(b for p in plan.parts for b in p) == list(range(64))
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark, rows):
+    names = ["_gone", "_again", "_nth", "node", "component", "_row", "key"]
+    wide = brute.frame(spark, rows).withColumns({c: F.lit(c) for c in names})
+    kept = simhash.one_of_each(wide).collect()
+    assert all(r[c] == c for r in kept for c in names) and {r.doc_id for r in kept} == set(brute.alike_groups(rows).values())
+
+
 def test_one_of_each(spark, rows):
     given_ = [*rows, rows[0], (None, rows[0][1], None, None, None), (500, "b " * 9, "x", None, None), (500, "a " * 9, "x", None, None)]
     kept = simhash.one_of_each(brute.frame(spark, given_)).collect()
@@ -127,7 +157,7 @@ def test_one_of_each_links_from_similarity_on(spark, monkeypatch, few):
     monkeypatch.setattr(simhash, "CENTRES", 2)
     monkeypatch.setattr(simhash, "CENTRE_ROUNDS", 2)
     got = {r.doc_id: r.component_id for r in simhash.similar_texts(brute.frame(spark, rows).repartition(3), few=few).collect()}
-    assert got == expected and 40 < len(set(expected.values())) < 170
+    assert got == expected == brute.alike_groups(rows) and 40 < len(set(expected.values())) < 170
     if few == 16:
         assert {r.doc_id for r in simhash.one_of_each(brute.frame(spark, rows)).collect()} == set(expected.values())
 
@@ -145,7 +175,7 @@ def test_line_dedup(docs, rows, edits):
 
 
 def test_line_dedup_finds_every_edit(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     base = "Überall the same líne of text 12"
     edited = [base[:i] + base[i + 1 :] for i in range(len(base))] + [base[:i] + "#" + base[i:] for i in range(len(base) + 1)] + [base[:i] + "#" + base[i + 1 :] for i in range(len(base))]
     other = ["Überall THE SAME líne of text 99", base[:-2] + "##", base + "??"]
@@ -168,6 +198,16 @@ def test_line_dedup_keeps_rows_and_columns(spark, wide, rows):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(nulls).collect()} == {None: "a line that is long enough", 1: ""}
 
 
+def test_line_dedup_of_rows_that_share_a_doc_id(spark):
+    p, q, r = ("line number %s is long enough to count" % (x * 9) for x in "pqr")
+    for ids in ((7, 7), (None, None)):
+        rows = [(ids[0], f"{p}\n{q}", None, None, None), (ids[1], f"{r}\n{p}", None, None, None)]
+        got = sorted(x.text for x in line_dedup.dedup_lines(brute.frame(spark, rows)).collect())
+        assert sorted("\n".join(got).split("\n")) == sorted([p, q, r])
+    twice = [(1, p, None, None, None)] * 2 + [(2, f"{p}\n{q}", None, None, None)]
+    assert sorted(x.text for x in line_dedup.dedup_lines(brute.frame(spark, twice)).collect()) == sorted([p, p, q])
+
+
 def test_quality_counts(docs, rows, spark, wide):
     junk = [(900, "a b c d e f g " * 40, "en", None, 0), (901, "x y z w v x y z w v x", "en", None, 0), (902, "q\nq\n\n \nr\nq" + " z" * 4, "en", None, 0)]
     every = rows + junk
@@ -184,8 +224,8 @@ def test_quality_verdicts(spark):
     import random
 
     rng = random.Random(5)
-    common = quality.COMMON_WORDS["en"]
-    prose = [" ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(["river", "stone", "walking", "green", "lamp"]) + rng.choice(["", "s", "ed"]) for _ in range(300)) for _ in range(40)]
+    frequent = quality.COMMON_WORDS["en"]
+    prose = [" ".join(rng.choice(frequent) if rng.random() < 0.4 else rng.choice(["river", "stone", "walking", "green", "lamp"]) + rng.choice(["", "s", "ed"]) for _ in range(300)) for _ in range(40)]
     marks = " ".join(f"{rng.choice(['river', 'stone'])}{rng.randint(0, 99)}{rng.choice(['###', '%%%', '$$$'])}" for _ in range(300))
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(prose)] + [(100, marks, "en", "s", 0), (101, None, "en", "s", 0), (102, marks, None, "s", 0)]
     judged = {r._row.doc_id: r.quality for r in quality.judge(brute.frame(spark, rows)).collect()}
@@ -194,6 +234,9 @@ def test_quality_verdicts(spark):
     assert quality.keep_good(brute.frame(spark, rows)).columns == brute.frame(spark, rows).columns
     assert quality.keep_good(brute.frame(spark, [])).count() == 0
     assert quality.judge(brute.frame(spark, rows).drop("lang")).first().quality.word_distance is None
+    foreign = [*rows, (200, "mal bir iki bal kar dost yol gece " * 4 + " ".join(f"kelime{c}" for c in "abcdefghijklmnopqrstuvwxyz") * 3, "tr", "s", 0)]
+    judged = {r._row.doc_id: r.quality for r in quality.judge(brute.frame(spark, foreign)).collect()}
+    assert judged[200].word_distance is None and judged[0].word_distance is not None
 
 
 def test_jensen_shannon(spark):
@@ -213,7 +256,7 @@ def test_repeated_strings_in_documents(docs, rows, collection):
 
 
 def test_repeated_strings_shuffled_in_files_and_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(suffix_dedup, "LEAST_BUCKETS", 2)
     tricky = rows + [(200, "ab" * 400, None, None, None), (201, "ab" * 300 + "c", None, None, None), (202, "z" * 49, None, None, None), (203, "z" * 50, None, None, None), (204, "y" + "z" * 60, None, None, None), (-5, "z" * 51, None, None, None)]
     frame = brute.frame(spark, tricky).withColumn("mark", F.lit("m")).withColumn("spans", F.lit(1))

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from freshet.llm import chat_format, packing, pii, sharding, token_store
 from freshet.llm.common import scratch
@@ -35,8 +37,10 @@ def test_pieces_change_no_id(kind, name, rows):
     pieces = kind(tokenizer_file(name))
     pieces.remembered = 5  # generations turn over
     texts = ODD + [r[1] or "" for r in rows]
+    untouched = Tokenizer.from_file(tokenizer_file(name))
+    assert any(i >= untouched.get_vocab_size(with_added_tokens=False) - 1 for i in untouched.encode("<|endoftext|> x", add_special_tokens=False).ids)
     for text in texts:
-        expected = np.array(pieces.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        expected = np.array(untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert pieces.encode([text])[0] == expected, text
 
 
@@ -221,6 +225,16 @@ def test_very_long_texts_take_linear_time():
     assert time.time() - began < 20
 
 
+def test_very_long_tokens_take_linear_time(model):
+    import time
+
+    began = time.time()
+    for text in ("1" + "." * 300_000 + "1", "1a" * 150_000, "9-" * 150_000, "[" * 300_000 + "1", "1 - " * 20_000, "x@y." * 75_000, "1.2.3.4 " * 20_000):
+        pii.all_spans(pii.base_spans(text), pii.tagged_spans([text], model)[0])
+    assert time.time() - began < 60
+    assert pii.shape("ab" * 200 + "9") == "x9" and pii.core("'<1...>'") == (2, 3) and pii.core("...") == (0, 3)
+
+
 @pytest.fixture(scope="module")
 def model():
     return pii.train(pii.labelled_table())
@@ -240,6 +254,17 @@ def test_held_out_accuracy(model):
     assert wrong / total < 0.03
 
 
+def test_model_finds_held_out_data_that_patterns_miss(model):
+    planted = base = both = 0
+    for tokens, tags in pii.labelled_table(seed=99, each=10):
+        text, want = " ".join(tokens), {t for t in tags if t != "O"}
+        exact = pii.base_spans(text)
+        planted += bool(want)
+        base += bool(want & {s[0] for s in exact})
+        both += bool(want & {s[0] for s in pii.all_spans(exact, pii.tagged_spans([text], model)[0])})
+    assert both / planted > 0.97 and base / planted < 0.8
+
+
 def test_viterbi_is_the_best_path(model):
     from itertools import product
 
@@ -278,16 +303,18 @@ def turns(spark, rows):
 
 def test_preferences(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "user", "Q"), (1, 2, "assistant", "é1"), (1, 3, "user", "R"), (1, 4, "assistant", "A2"), (1, 5, "user", "tail"), (2, 0, "user", "only"), (3, 0, "user", None), (3, 1, "assistant", None), (4, 7, "assistant", "x"), (4, 7, "assistant", "x")]
-    pairs = chat_format.last_reply_pairs(turns(spark, rows))
+    pairs = chat_format.stale_reply_pairs(turns(spark, rows))
     got = {r.pair_id: r for r in chat_format.format_preferences(pairs).collect()}
-    assert set(got) == {1, 3, 4}
-    one = got[1]
+    assert set(got) == {1, 2, 3, 4}
+    one = got[1]  # 1 % 2: left at the second reply
     assert one.prompt == "<|system|>\nS<|end|>\n<|user|>\nQ<|end|>\n<|assistant|>\né1<|end|>\n<|user|>\nR<|end|>\n" and one.n_prompt_turns == 4
-    assert one.chosen == "<|assistant|>\nA2<|end|>\n" and one.rejected == "<|assistant|>\né1<|end|>\n"
+    assert one.chosen == "<|assistant|>\nA2<|end|>\n<|user|>\ntail<|end|>\n" and one.rejected == "<|assistant|>\né1<|end|>\n"
     (span,) = one.chosen_mask
     assert one.chosen[span.begin : span.end] == "A2<|end|>\n"
-    assert got[4].n_prompt_turns == 2 and got[4].chosen == got[4].rejected == "" and got[4].chosen_mask == []
-    assert chat_format.last_reply_pairs(turns(spark, [])).count() == 0
+    assert got[2].n_prompt_turns == 1 and got[2].chosen == got[2].rejected == ""
+    assert got[3].n_prompt_turns == 1 and got[3].chosen == got[3].rejected == "<|assistant|>\n<|end|>\n"  # null isn't an empty text
+    assert got[4].n_prompt_turns == 0 and got[4].chosen == "<|assistant|>\nx<|end|>\n" * 2 and got[4].rejected == "<|assistant|>\n<|end|>\n"
+    assert chat_format.stale_reply_pairs(turns(spark, [])).count() == 0
 
 
 def test_preferences_of_any_pair(spark):
@@ -299,7 +326,9 @@ def test_preferences_of_any_pair(spark):
         (4, "k", t((None, "a"), ("assistant", "z")), t((None, "a"))),
     ]
     schema = f"pair_id long, prompt_kind string, chosen {chat_format.TURNS}, rejected {chat_format.TURNS}"
-    got = {r.pair_id: r for r in chat_format.format_preferences(spark.createDataFrame(rows, schema)).collect()}
+    clashing = spark.createDataFrame(rows, schema).withColumns({c: F.lit("mine") for c in ("_a", "_b", "_ra", "_rb", "_n", "_row", "turns")})
+    got = {r.pair_id: r for r in chat_format.format_preferences(clashing).collect()}
+    assert all(r[c] == "mine" for r in got.values() for c in ("_a", "_b", "_ra", "_rb", "_n", "_row", "turns"))
     assert [got[i].n_prompt_turns for i in (1, 2, 3, 4)] == [1, 0, 0, 1] and got[1].prompt_kind == "k"
     assert [got[1].chosen[m.begin : m.end] for m in got[1].chosen_mask] == ["b<|end|>\n", "d<|end|>\n"]
     assert got[3].chosen == "" and got[4].rejected == "" and got[4].chosen == "<|assistant|>\nz<|end|>\n"
@@ -323,3 +352,35 @@ def test_native_plans_have_no_python(spark, data):
         name = next(q for q in queries.QUERIES if q.startswith(f"op{n}_"))
         plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct")), name
+
+
+def test_every_query_runs(spark, data):
+    """The queries without SQL, over whole tables: rows and the columns of their contracts."""
+    from freshet.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = [(d, t) for d, t in docs.items()]
+    run = lambda n: next(f for q, f in queries.QUERIES.items() if q.startswith(f"op{n}_"))(spark, data).collect()
+    prints, groups = brute.near(rows, 4, 4)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in run(4)} == {d: (f"{prints[d]:016x}", groups[d]) for d in docs}
+    for r in run(5):
+        base = pii.base_spans(docs[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS) and r.base_sha256 == pii.digest(base)
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+    at = 0
+    for r in sorted(run(6), key=lambda r: r.doc_id):
+        ids = brute.ids_of(Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), docs[r.doc_id], 2)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), brute.crc(ids))
+        at += len(ids)
+    placed = run(8)
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in placed} == {(d, len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in docs.items()}
+    assert {r.law for r in placed} == {"rows"} and {r.grown_shard for r in placed} == {None}
+    sizes = Counter(r.shard for r in placed)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in placed if r.shard == k) == list(range(n)) for k, n in sizes.items())
+    packed = defaultdict(list)
+    for r in run(3):
+        ids = brute.ids_of(made[0].tokenizer, docs[r.doc_id], 0)
+        assert r.start == 2048 * r.piece and r.ids_crc32 == brute.crc(ids[r.start : r.start + r.length])
+        packed[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 2048 for p in packed.values())
