@@ -63,7 +63,7 @@ _MASK = """coalesce(array_to_string(list_filter(list_transform(range(1, len({0})
   list_sum(list_transform({0}[1:i], lambda t: length(coalesce(t.role, '')) + length(coalesce(t.text, '')) + 13))::BIGINT END), lambda x: x IS NOT NULL), ','), '')"""
 OP2_SQL = f"""WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
 r AS (SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS spots FROM c),
-q AS (SELECT *, coalesce(conv_id, 0) % len(spots) AS m FROM r),
+q AS (SELECT *, coalesce(conv_id, 0) % greatest(len(spots), 1) AS m FROM r),
 j AS (SELECT *, CASE WHEN m < 0 THEN m + len(spots) ELSE m END + 1 AS j FROM q),
 p AS (SELECT conv_id AS pair_id, turns AS a, CASE WHEN len(spots) = 0 THEN turns
   ELSE list_append(turns[1:spots[j] - 1], {{'role': 'assistant', 'text': CASE WHEN j > 1 THEN coalesce(turns[spots[j - 1]].text, '') ELSE '' END}}) END AS b FROM j),
