@@ -355,11 +355,14 @@ def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are as similar. A node that is in very many pairs is on side b: the other
-    sets move once, and its own is joined where they are."""
-    a, b = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    """The pairs (a, b) of nodes whose whole sets are as similar. Sets stay where they are while the pairs, and the sets of
+    the few nodes on side b, are measured to be small enough to be sent to every executor."""
+    pairs = settled(pairs)
+    ends = settled(pairs.select(F.col("b").alias("node")).distinct())
+    of_b = settled(sets.join(sent_if_small(ends), "node", "left_semi").select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("shingles").alias("b_set")))
+    of_a = sets.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("shingles").alias("a_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    met = joined_by(settled(pairs), b, "b", "inner").join(a, "a")
+    met = of_a.join(sent_if_small(pairs), "a").join(sent_if_small(of_b), "b")
     return met.filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b")
 
 
@@ -381,16 +384,19 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     with arrow_batches(spark, 1000):
         common = common_shingles(texts, width, seed)
         found = settled(shingle_sets(texts, similarity, width, seed, common))
-        index = found.select("node", "size", "rare", F.posexplode("keys").alias("place", "key"))
+        once = settled(spread(found.select("node", "size", "fp", "rare", "keys").dropDuplicates(["node"]), "node"))
+        index = once.select("node", "size", "rare", F.posexplode("keys").alias("place", "key"))
         shared = settled(index.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("key"))
-        members = settled(index.join(sent_if_small(shared), "key", "left_semi").distinct().withColumn("component", F.col("node")))
+        members = settled(index.join(sent_if_small(shared), "key", "left_semi").withColumn("component", F.col("node")))
         # sets without a key in common with another have no partner, whatever their fingerprints
         wanted = settled(members.select("node").distinct())
-        held = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("_first")).select("node", "_first.*")
-        held = settled(held)
-        firsts = settled(held.select(F.col("doc_id").alias("_first")).distinct())
+        held = settled(once.select("node", "fp").join(wanted, "node", "left_semi"))
+        firsts = found.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_first"))
+        firsts = settled(firsts.select("_first").distinct())
         own = texts.join(sent_if_small(firsts), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-        sets = settled(shingle_sets(own, similarity, width, seed, None).select("node", "size", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        sets = settled(shingle_sets(own, similarity, width, seed, None).select("node", "size", "shingles").join(sent_if_small(wanted), "node", "left_semi"))
+        if sets.count() > wanted.count():  # rows that share a doc_id have the same set
+            sets = settled(sets.dropDuplicates(["node"]))
     labelled, turn = settled(found.groupBy("node").agg(F.min("doc_id").alias("first"))).withColumn("component", F.col("node")), 0
 
     def merged(edges: DataFrame) -> None:
