@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, paths, values
-from ..functions.keys import stable_hash
+from ..functions.keys import stable_hash, with_row_key
 from ..operators import blocks, catalog, coverage, dedup, predicates
 from ..sources import registry, scan, sinks
 
@@ -105,8 +105,8 @@ def dup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, sha256('events|' || coalesce(CAST(user_id AS VARCHAR), '') || '|' || coalesce(event_type, '') || '|' ||
 coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '')) AS floating_id FROM events""")
 def floating_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = stable_hash(F.lit("events"), F.col("user_id"), F.col("event_type"), values.iso_second(F.col("ts")))
-    return read(spark, sf_dir, "events").select("event_id", key.alias("floating_id"))
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return with_row_key(rows, "events", "ts", "user_id", "event_type").select("event_id", "floating_id")
 
 
 @query(f"SELECT doc_id, sha256({FOLD.format("replace(text, 'ß', 'ss')")}) AS folded FROM documents")
@@ -117,9 +117,8 @@ def norm_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT codigo, label, coalesce(r_name, label) AS canonical FROM {DISTORTED} d
 LEFT JOIN region ON {FOLD.format("label")} = {FOLD.format("r_name")}""")
 def dept_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = read(spark, sf_dir, "region").select(F.col("r_name").alias("canonical_name"), labels.fold_label(F.col("r_name")).alias("variant_norm"))
-    rows = distorted(spark, sf_dir).withColumn("variant_norm", labels.fold_label(F.col("label")))
-    return rows.join(known, "variant_norm", "left").select("codigo", "label", F.coalesce("canonical_name", "label").alias("canonical"))
+    known = {r["r_name"]: [] for r in read(spark, sf_dir, "region").select("r_name").collect()}  # a region is a department: a fixed few
+    return distorted(spark, sf_dir).select("codigo", "label", labels.canonical_column(F.col("label"), known).alias("canonical"))
 
 
 @query(f"""SELECT label, {FOLD.format("label")} AS normalized, count(*) AS total,

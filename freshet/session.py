@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of tables that nothing uses any more go while the session lasts
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -75,15 +75,24 @@ def dataset_table(spark: SparkSession) -> DataFrame:
 
 @dataclass(frozen=True)
 class Settings:
-    """SC11: limits of scans and sinks; FRESHET_* variables override them."""
+    """SC11: limits of scans and sinks, portal and its token; FRESHET_* variables override them, and a .env file those that
+    are unset."""
 
     page_rows: int = 50_000
     attempts: int = 5
     timeout_s: int = 300
     sheet_rows: int = 1_048_576
     output_dir: str = "data"
+    domain: str = ""
+    token: str = ""
+    workers: int = 20
 
     @classmethod
     def from_environment(cls) -> Settings:
-        given = {f: os.environ.get(f"FRESHET_{f.upper()}") for f in cls.__dataclass_fields__}
+        filed = {}
+        if os.path.isfile(".env"):
+            with open(".env", encoding="utf-8") as lines:
+                pairs = [line.split("=", 1) for line in lines if "=" in line and not line.lstrip().startswith("#")]
+            filed = {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+        given = {f: os.environ.get(f"FRESHET_{f.upper()}", filed.get(f"FRESHET_{f.upper()}")) for f in cls.__dataclass_fields__}
         return cls(**{f: type(getattr(cls, f))(v) for f, v in given.items() if v})

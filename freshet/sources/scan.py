@@ -61,9 +61,9 @@ class PagedReader(DataSourceReader):
         if "start" not in self.options:
             return [Block(None, None)]
         first, last = date.fromisoformat(self.options["start"]), date.fromisoformat(self.options["end"])
-        blocks, lo = [], first
+        blocks, lo, years = [], first, self.options.get("blocks", "month") == "year"
         while lo < last:
-            hi = min(last, date(lo.year + lo.month // 12, lo.month % 12 + 1, 1))
+            hi = min(last, date(lo.year + 1, 1, 1) if years else date(lo.year + lo.month // 12, lo.month % 12 + 1, 1))
             blocks.append(Block(lo.isoformat(), hi.isoformat()))
             lo = hi
         return blocks
@@ -86,7 +86,7 @@ class PagedSource(DataSource):
     """SC1: ``spark.read.format("paged")`` with a ``client`` option, ``module:factory``; it is made in the task, when first used.
 
     The factory takes the options and returns an object with ``page(lo, hi, offset, limit)``, a list of dicts. Options
-    start and end divide the scan into calendar-month blocks. All columns are text, as sources deliver them.
+    start and end divide the scan into calendar blocks, of a month or, with ``blocks`` as year, a year. All columns are text, as sources deliver them.
     """
 
     @classmethod
@@ -120,7 +120,7 @@ def from_records(spark: SparkSession, records: Iterable[dict] | DataFrame, schem
 
 def tidy_names(df: DataFrame) -> DataFrame:
     """PR5."""
-    return df.toDF(*[c.strip().lower() for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip().lower() for c in df.columns])
 
 
 def without_system_id(df: DataFrame) -> DataFrame:

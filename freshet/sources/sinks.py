@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
@@ -12,24 +13,33 @@ from ..functions.paths import export_base, safe_path
 from ..functions.values import sheet_second
 from ..operators.coverage import first_by, station_coverage, totals
 
+BYTE_ORDER_MARK = "\ufeff"
 NO_DEPARTMENT, NO_MUNICIPALITY = "SIN_DEPARTAMENTO", "SIN_MUNICIPIO"
 
 
-def write_atomically(spark, path: str, content: str) -> str:
-    """SK1: a text file that appears under its name only when it is whole, on any file system that Spark knows."""
+def write_atomically(spark, path: str, content: str | Callable[[Callable[[bytes], None]], None]) -> str:
+    """SK1, UD3: a file that appears under its name only when it is whole, on any file system that Spark knows.
+
+    ``content`` is a text, or a function that gets a function to write bytes with. What lay there before stays until the
+    draft is whole, and is replaced in one step; if anything fails it stays, and the draft goes.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.draft")
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}.draft")
     system = target.getFileSystem(conf)
     try:
         with_stream = system.create(draft, True)
         try:
-            with_stream.write(bytearray(content.encode()))
+            if callable(content):
+                content(lambda part: with_stream.write(bytearray(part)))
+            else:
+                with_stream.write(bytearray(content.encode()))
         finally:
             with_stream.close()
-        system.delete(target, False)
-        if not system.rename(draft, target):
-            raise OSError(f"can't rename to {path}")
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(draft), system.makeQualified(target), how)
     finally:
         system.delete(draft, False)
     return path
@@ -49,16 +59,18 @@ def export_parquet(df: DataFrame, path: str) -> None:
     with_territory_parts(df).hint("rebalance", "dep_part", "mun_part").write.mode("overwrite").partitionBy("dep_part", "mun_part").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, order: list[str], max_rows: int = 1_048_576) -> None:
+def export_csv(df: DataFrame, path: str, order: list[str], max_rows: int = 1_048_576, mark: bool = True) -> None:
     """SK3, SK4: CSV in numbered parts that hold ``max_rows`` with their header; quotes doubled, dates without T.
 
-    The part number is a partition column, so each part is one file; spreadsheets that want a byte-order mark get it
-    from ``spreadsheet_bytes``.
+    The part number is a partition column, so each part is one file. With ``mark`` each begins with a byte-order mark, by
+    which spreadsheets know UTF-8: it is put before the first name of the header.
     """
     from ..operators.dedup import part_number
 
     dated = df.select(*[sheet_second(F.col(c)).alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes])
     parts = part_number(with_territory_parts(dated), ["dep_part", "mun_part"], [F.col(c) for c in order], max_rows)
+    first = df.columns[0]
+    parts = parts.withColumnRenamed(first, BYTE_ORDER_MARK + first) if mark else parts
     parts.repartition("dep_part", "mun_part", "part").write.mode("overwrite").partitionBy("dep_part", "mun_part", "part").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 

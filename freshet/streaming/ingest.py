@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..operators.dedup import deduplicate
 from ..plans.pipeline import normalise
 
+VALUE = "valorobservado"
+
 
 def upsert_batch(batch: DataFrame, store: str, dataset_id: str, date_column: str) -> int:
-    """Appends rows with new ``floating_id`` to the Parquet store, partitioned by month; returns how many.
+    """Appends rows with a new ``floating_id``, or a greater value than its stored ones, to the Parquet store, partitioned by
+    month; returns how many. ``read_store`` keeps the greatest of each, so batches may come again and in any order.
 
-    Only the months that the batch touches are read, so the check does not grow with the store.
+    Only the months that the batch touches are read, so the check does not grow with the store; rows without a date are
+    a month of their own.
     """
     spark = batch.sparkSession
     fresh = deduplicate(normalise(batch, dataset_id, date_column), date_column).withColumn("month", F.date_format(date_column, "yyyy-MM")).persist()
@@ -23,9 +27,11 @@ def upsert_batch(batch: DataFrame, store: str, dataset_id: str, date_column: str
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             known = fresh.limit(0)
-        months = [r["month"] for r in fresh.select("month").distinct().collect()]
-        stored = known.filter(F.col("month").isin(months)).select("floating_id")
-        new = fresh.join(stored, "floating_id", "left_anti").persist()
+        months = [r["month"] for r in fresh.select(F.coalesce("month", F.lit("")).alias("month")).distinct().collect()]
+        value = F.col(VALUE) if VALUE in fresh.columns else F.lit(None).cast("double")
+        stored = known.filter(F.coalesce("month", F.lit("")).isin(months)).select(F.col("floating_id").alias("_stored"), value.alias("_value"))
+        no_greater = value.isNull() | F.coalesce(F.col("_value") >= value, F.lit(False))
+        new = fresh.join(stored, (F.col("floating_id") == F.col("_stored")) & no_greater, "left_anti").persist()
         count = new.count()
         if count:
             new.write.mode("append").partitionBy("month").parquet(store)
@@ -35,6 +41,11 @@ def upsert_batch(batch: DataFrame, store: str, dataset_id: str, date_column: str
         fresh.unpersist()
 
 
+def read_store(spark: SparkSession, store: str, date_column: str = "fechaobservacion") -> DataFrame:
+    """The stored rows, the greatest value of each measurement (DD1)."""
+    return deduplicate(spark.read.parquet(store), date_column)
+
+
 def ingest(spark: SparkSession, source: str, schema, store: str, checkpoint: str, dataset_id: str, date_column: str = "fechaobservacion", available_now: bool = True):
     """A file stream into the store; one micro-batch is applied at a time and can be repeated without harm."""
     stream = spark.readStream.schema(schema).json(source)

@@ -162,3 +162,100 @@ def test_metrics(spark):
     assert seen[-1][0] == seen[-1][1] > 0 and metrics.plan_mib(spark.range(10)) > 0
     with pytest.raises(ZeroDivisionError):
         metrics.with_progress(spark.range(1), lambda df: 1 // 0, lambda *a: None)
+
+
+def test_deliver_every_dataset(spark, tmp_path):
+    """SC7, T19: special datasets have other date columns, text years, or no date or department at all."""
+    for row in registry.datasets():
+        columns = {"codigoestacion": "1", "valorobservado": "2.5", "municipio": "M"} if row["tipo"] == "estandar" else {"valor": "3"}
+        if row["tipo"] == "estandar" or row["dep_col"]:
+            columns[row["dep_col"] or "departamento"] = "cesar"
+        if row["fecha_col"]:
+            columns[row["fecha_col"]] = "2024-01-05T00:00:00.000" if row["tipo"] == "estandar" or row["fecha_real"] else "2011"
+        raw = spark.createDataFrame([tuple(columns.values())] * 2 + [tuple("x" if k.endswith("departamento") else v for k, v in columns.items())], ", ".join(f"{c} string" for c in columns))
+        got = deliver(raw, Selection(row["id"], ["CESAR"], "2024-01-01", "2024-02-01"), str(tmp_path / row["id"]), at=datetime(2024, 3, 1, 9, 5))
+        kept = 2 if row["tipo"] == "estandar" or row["dep_col"] else 3
+        once = 1 if "codigoestacion" in columns else kept
+        assert (got["rows"], got["raw_rows"], got["duplicates"]) == (once, kept, kept - once), row
+
+
+def test_stations_of_a_selection(spark, raw):
+    catalog = spark.createDataFrame([("0021", "Activa"), ("0033", "Suspendida")], "codigo string, estado string")
+    pick = lambda **how: {r.codigoestacion for r in Selection("s54a-sgyg", ["ATLANTICO"], "2024-01-01", "2024-02-01", **how).plan(raw, catalog).collect()}
+    assert pick() == {"0021", "0033"} and pick(codes=["0033"]) == {"0033"} and pick(attributes={"estado": ["ACTIVA"]}) == {"0021"}
+    assert pick(attributes={"estado": ["none"]}) == set() and pick(attributes={"estado": ["none"]}, codes=["0021"]) == {"0021"}
+
+
+def test_a_failed_write_keeps_what_was_there(spark, tmp_path):
+    path = str(tmp_path / "a" / "r.txt")
+    sinks.write_atomically(spark, path, "first")
+
+    def broken(write):
+        write(b"half")
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        sinks.write_atomically(spark, path, broken)
+    assert open(path).read() == "first" and [p.name for p in (tmp_path / "a").iterdir() if not p.name.endswith(".crc")] == ["r.txt"]
+    sinks.write_atomically(spark, path, lambda write: write("sécond".encode()))
+    assert open(path, encoding="utf-8").read() == "sécond"
+
+
+def test_ingest_of_rows_without_a_date_and_of_greater_values(spark, tmp_path):
+    store = str(tmp_path / "store")
+    row = lambda value, day: spark.createDataFrame([("1", "s", day, value)], "codigoestacion string, codigosensor string, fechaobservacion string, valorobservado string")
+    day = "2024-01-02T10:00:00.000"
+    put = lambda df: ingest.upsert_batch(df, store, "s54a-sgyg", "fechaobservacion")
+    assert [put(row("1", None)), put(row("1", None)), put(row("1", day)), put(row("9", day)), put(row("4", day)), put(row("9", day))] == [1, 0, 1, 1, 0, 0]
+    assert sorted(r.valorobservado for r in ingest.read_store(spark, store).collect()) == [1.0, 9.0]
+
+
+def test_portal_pages(spark, tmp_path, monkeypatch, capsys):
+    import gzip
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from freshet.sources import portal
+
+    asked, failures = [], [429]
+    rows = [{"codigoestacion": f"{i}", "fechaobservacion": f"2024-0{m}-03T00:00:00.000", "valorobservado": str(i), "departamento": "CESAR"} for m in (1, 2) for i in range(5)]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if failures:
+                self.send_error(failures.pop())
+                return
+            query = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query))
+            asked.append((query, self.headers.get("X-App-Token")))
+            own = [r for r in rows if "$where" not in query or "fechaobservacion" not in query["$where"] or f"'{r['fechaobservacion'][:7]}" in query["$where"].split("AND")[-2]]
+            page = own[int(query["$offset"]) :][: int(query["$limit"])]
+            body = gzip.compress(json.dumps(page).encode())
+            self.send_response(200)
+            self.send_header("Content-Encoding", "gzip")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        domain = f"http://127.0.0.1:{server.server_port}"
+        monkeypatch.setattr(scan.time, "sleep", lambda s: None)
+        client = portal.make({"domain": domain, "dataset": "d", "WHERE": "a = 1", "token": "t"})
+        with pytest.raises(RuntimeError, match="429"):
+            client.page(None, None, 0, 2)
+        assert len(client.page(None, None, 8, 5)) == 2 and asked[-1] == ({"$limit": "5", "$offset": "8", "$order": ":id", "$where": "a = 1"}, "t")
+        got = portal.portal_rows(spark, domain, "s54a-sgyg", portal.one_of("departamento", ["O'X", "cesar"]), "fechaobservacion", "2024-01-01", "2024-03-01", pageRows=2)
+        assert got.count() == 10 and any("'O''X', 'CESAR'" in q["$where"] for q, _ in asked)
+        assert portal.portal_rows(spark, domain, "62gv-3857").columns == list(rows[0])
+        monkeypatch.setenv("FRESHET_DOMAIN", domain)
+        code = cli.main(["download", "--dataset", "s54a-sgyg", "--department", "cesar", "--start-date", "2024-01-01", "--end-date", "2024-03-01", "--station", "3", "--csv", "--output-dir", str(tmp_path)])
+        assert code == 0 and json.loads(capsys.readouterr().out)["rows"] == 2
+        assert next(tmp_path.rglob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbf")
+    finally:
+        server.shutdown()
+    monkeypatch.delenv("FRESHET_DOMAIN")
+    assert cli.main(["download", "--dataset", "s54a-sgyg", "--department", "cesar", "--start-date", "2024-01-01", "--end-date", "2024-03-01"]) == 2
