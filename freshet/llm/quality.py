@@ -107,7 +107,7 @@ def references_of(measured: DataFrame, rules: Rules = Rules()) -> dict[str, tupl
 
 def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """``references_of`` plain documents."""
-    return references_of(measure(docs, text, lang, []), rules) if lang in docs.columns else {}
+    return references_of(settled(measure(docs, text, lang, []).drop("_row")), rules) if lang in docs.columns else {}
 
 
 def jensen_shannon(counts: Column, total: Column, reference: list[float]) -> Column:
