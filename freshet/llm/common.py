@@ -93,6 +93,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of ``settled`` tables of which everything that was made from them is settled itself."""
+    for df in tables:
+        path = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if path.isDefined():
+            discard(df.sparkSession, path.get())
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside hand at most so many rows at once to Python, which bounds the memory that texts take there."""
@@ -108,6 +116,8 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 def _bytes(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.greatest(F.size(value), F.lit(0)).cast("long") * _width(kind.elementType) + 16, F.lit(8).cast("long"))
     if isinstance(kind, T.ArrayType):
         return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda total, x: total + _bytes(x, kind.elementType)), F.lit(8).cast("long"))
     if isinstance(kind, T.StructType):
@@ -118,6 +128,11 @@ def _bytes(value: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("long")
 
 
+def _width(kind: T.DataType) -> int:
+    """Bytes of an element in an array of plain values."""
+    return 4 if isinstance(kind, (T.IntegerType, T.FloatType, T.DateType)) else 8
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of all rows: 8 for a plain value, and what strings and arrays hold."""
     total = F.lit(8).cast("long")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, joined_by, sent_if_small, settled, spread
+from .common import arrow_batches, joined_by, released, sent_if_small, settled, spread
 from .components import connected
 from .tokenization import in_parts
 
@@ -334,9 +334,9 @@ def shingle_sets(docs: DataFrame, similarity: float, width: int, seed: int, comm
     return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, " + ("shingles array<int>" if common is None else "fp long, rare int, keys array<long>"))
 
 
-def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple[DataFrame, DataFrame]:
+def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Pairs a, b of nodes of different components that share a key and can be as similar; and the members (key, place,
-    node, size, rare, component) whose pairs are not all among them. No more than ``few`` (None: any number) of a key are
+    node, size, rare, component) whose pairs are not all among them; last, the settled tables that both read. No more than ``few`` (None: any number) of a key are
     paired with each other; of more, ``CENTRES`` (b) with all, those with the fewest rare shingles, which are most like the rest."""
     sides = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     open_ = settled(members.join(sides.select("key", "n"), "key"))
@@ -352,11 +352,11 @@ def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple
     centres = settled(large.groupBy("key", part.alias("part")).agg(F.min(F.struct("rare", "node", "size", "place", "component")).alias("c")).select("key", "c.*"))
     met = side(large, "a").join(sent_if_small(side(centres, "b")), "key").filter(fits & (F.col("a_node") != F.col("b_node"))).select(*ends)
     left = large.join(sent_if_small(centres.select("key", "node")), ["key", "node"], "left_anti")
-    return pairs.union(met).distinct(), left
+    return pairs.union(met).distinct(), left, [open_, centres]
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are as similar. Sets stay where they are while the pairs, and the sets of
+    """The pairs (a, b), settled, of nodes whose whole sets are as similar. Sets stay where they are while the pairs, and the sets of
     the few nodes on side b, are measured to be small enough to be sent to every executor."""
     pairs = settled(pairs)
     ends = settled(pairs.select(F.col("b").alias("node")).distinct())
@@ -364,7 +364,9 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     of_a = sets.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("shingles").alias("a_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     met = of_a.join(sent_if_small(pairs), "a").join(sent_if_small(of_b), "b")
-    return met.filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b")
+    alike = settled(met.filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b"))
+    released(pairs, of_b)
+    return alike
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", few: int = FEW_SETS, distance: int = 4) -> DataFrame:
@@ -392,34 +394,40 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         # sets without a key in common with another have no partner, whatever their fingerprints
         wanted = settled(members.select("node").distinct())
         held = settled(once.select("node", "fp").join(wanted, "node", "left_semi"))
-        firsts = found.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_first"))
+        ids = settled(found.select("doc_id", "node"))
+        released(found, once, shared)
+        firsts = ids.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_first"))
         firsts = settled(firsts.select("_first").distinct())
         own = texts.join(sent_if_small(firsts), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
         sets = settled(shingle_sets(own, similarity, width, seed, None).select("node", "size", "shingles").join(sent_if_small(wanted), "node", "left_semi"))
         if sets.count() > wanted.count():  # rows that share a doc_id have the same set
-            sets = settled(sets.dropDuplicates(["node"]))
-    labelled, turn = settled(found.groupBy("node").agg(F.min("doc_id").alias("first"))).withColumn("component", F.col("node")), 0
+            repeated, sets = sets, settled(sets.dropDuplicates(["node"]))
+            released(repeated)
+    labelled, turn = settled(ids.groupBy("node").agg(F.min("doc_id").alias("first")).withColumn("component", F.col("node"))), 0
 
     def merged(edges: DataFrame) -> None:
         nonlocal labelled, members
         joined = settled(connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined")))
         renamed = lambda df: settled(joined_by(df, joined, "component").withColumn("component", F.coalesce("_joined", "component")).drop("_joined"))
+        before = labelled, members
         labelled, members = renamed(labelled), renamed(members)
+        released(*before)
 
-    edges = settled(_alike(print_pairs(held.select("node", "fp"), distance), sets, similarity))
+    edges = _alike(print_pairs(held.select("node", "fp"), distance), sets, similarity)
     if not edges.isEmpty():
         merged(edges)
     while not members.isEmpty():
-        pairs, left = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None)
-        alike = settled(_alike(pairs, sets, similarity))
+        pairs, left, read = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None)
+        alike = _alike(pairs, sets, similarity)
         named = [labelled.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
         edges = settled(joined_by(alike, named[1], "b", "inner").join(named[0], "a").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
-        members, turn = settled(left), turn + 1
+        before, members, turn = members, settled(left), turn + 1
+        released(before, *read)
         if not edges.isEmpty():
             merged(edges)
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = joined_by(labelled.select("node", "component"), named, "component", "inner").select("node", "component_id")
-    return joined_by(found.select("doc_id", "node"), of_node, "node", "inner").select("doc_id", "component_id")
+    return joined_by(ids, of_node, "node", "inner").select("doc_id", "component_id")
 
 
 def print_pairs(held: DataFrame, distance: int, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
