@@ -141,9 +141,9 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
 
 
-def sent_if_small(df: DataFrame) -> DataFrame:
-    """``df`` (checkpointed), marked for broadcast where its measured bytes are within ``BROADCAST_BYTES``."""
-    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
+def sent_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` (checkpointed), marked for broadcast where its measured bytes are within ``most`` (``BROADCAST_BYTES``)."""
+    return F.broadcast(df) if measured_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df
 
 
 def joined_by(df: DataFrame, mapping: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -25,6 +25,8 @@ BUCKET_PAIRS = 4096
 FEW_SETS, CENTRES, CENTRE_ROUNDS = 16, 8, 8
 #: Shingles known to be common at most.
 COMMON_SHINGLES = 100_000
+#: Measured bytes of keys and sets that are sent to every executor at most. As a hash table on the driver, keys take several times that.
+SENT_BYTES = 16_000_000
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> list[int]:
@@ -363,7 +365,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     of_b = settled(sets.join(sent_if_small(ends), "node", "left_semi").select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("shingles").alias("b_set")))
     of_a = sets.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("shingles").alias("a_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    met = of_a.join(sent_if_small(pairs), "a").join(sent_if_small(of_b), "b")
+    met = of_a.join(sent_if_small(pairs, SENT_BYTES), "a").join(sent_if_small(of_b, SENT_BYTES), "b")
     alike = settled(met.filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b"))
     released(pairs, of_b)
     return alike
@@ -388,14 +390,16 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         common = common_shingles(texts, width, seed)
         found = settled(shingle_sets(texts, similarity, width, seed, common))
         once = settled(spread(found.select("node", "size", "fp", "rare", "keys").dropDuplicates(["node"]), "node"))
+        ids = settled(found.select("doc_id", "node"))
+        released(found)
         index = once.select("node", "size", "rare", F.posexplode("keys").alias("place", "key"))
-        shared = settled(index.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("key"))
-        members = settled(index.join(sent_if_small(shared), "key", "left_semi").withColumn("component", F.col("node")))
+        # a node has a key once, so rows are nodes; counts take less room on the way than nodes
+        shared = settled(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+        members = settled(index.join(sent_if_small(shared, SENT_BYTES), "key", "left_semi").withColumn("component", F.col("node")))
         # sets without a key in common with another have no partner, whatever their fingerprints
         wanted = settled(members.select("node").distinct())
         held = settled(once.select("node", "fp").join(wanted, "node", "left_semi"))
-        ids = settled(found.select("doc_id", "node"))
-        released(found, once, shared)
+        released(once, shared)
         firsts = ids.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_first"))
         firsts = settled(firsts.select("_first").distinct())
         own = texts.join(sent_if_small(firsts), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
