@@ -13,16 +13,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, joined_by, released, sent_if_small, settled, spread
+from .common import arrow_batches, joined_by, measured_bytes, released, sent_if_small, settled, spread
 from .components import connected
 from .tokenization import in_parts
 
 BITS = 64
 #: Fingerprints with the same bits in one partition up to which pairs are compared; more of them are linked another way.
 BUCKET_PAIRS = 4096
-#: Shingle sets that share a key up to which all pairs are compared, parts of larger buckets with a centre each, and rounds
-#: of centres after which all pairs of what is left are compared.
-FEW_SETS, CENTRES, CENTRE_ROUNDS = 16, 8, 8
+#: Shingle sets that share a key up to which all pairs are compared, parts of larger buckets with a centre each at first,
+#: by how many times more there are after a round that linked nothing, and rounds after which all pairs of what is left are compared.
+FEW_SETS, CENTRES, MORE_CENTRES, CENTRE_ROUNDS = 16, 8, 8, 8
 #: Shingles known to be common at most.
 COMMON_SHINGLES = 100_000
 #: Measured bytes of keys and sets that are sent to every executor at most. As a hash table on the driver, keys take several times that.
@@ -336,10 +336,10 @@ def shingle_sets(docs: DataFrame, similarity: float, width: int, seed: int, comm
     return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, " + ("shingles array<int>" if common is None else "fp long, rare int, keys array<long>"))
 
 
-def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _candidates(members: DataFrame, similarity: float, few: int | None, parts: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Pairs a, b of nodes of different components that share a key and can be as similar; and the members (key, place,
     node, size, rare, component) whose pairs are not all among them; last, the settled tables that both read. No more than ``few`` (None: any number) of a key are
-    paired with each other; of more, ``CENTRES`` (b) with all, those with the fewest rare shingles, which are most like the rest."""
+    paired with each other; of more, one (b) of each of ``parts`` parts with all, those with the fewest rare shingles, which are most like the rest."""
     sides = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     open_ = settled(members.join(sides.select("key", "n"), "key"))
     small = open_.drop("n") if few is None else open_.filter(F.col("n") <= few).drop("n")
@@ -350,10 +350,13 @@ def _candidates(members: DataFrame, similarity: float, few: int | None) -> tuple
     fits = (most / (F.col("a_size") + F.col("b_size") - most) >= similarity) & (F.col("a_component") != F.col("b_component"))
     ends = [F.col("a_node").alias("a"), F.col("b_node").alias("b")]
     pairs = side(small, "a").join(side(small, "b"), "key").filter(fits & (F.col("a_node") > F.col("b_node"))).select(*ends)
-    part = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
+    if few is None:
+        return pairs.distinct(), large, [open_]
+    part = F.pmod(F.xxhash64("node"), F.lit(parts))
     centres = settled(large.groupBy("key", part.alias("part")).agg(F.min(F.struct("rare", "node", "size", "place", "component")).alias("c")).select("key", "c.*"))
-    met = side(large, "a").join(sent_if_small(side(centres, "b")), "key").filter(fits & (F.col("a_node") != F.col("b_node"))).select(*ends)
-    left = large.join(sent_if_small(centres.select("key", "node")), ["key", "node"], "left_anti")
+    placed = F.broadcast if measured_bytes(centres) <= SENT_BYTES else lambda df: df
+    met = side(large, "a").join(placed(side(centres, "b")), "key").filter(fits & (F.col("a_node") != F.col("b_node"))).select(*ends)
+    left = large.join(placed(centres.select("key", "node")), ["key", "node"], "left_anti")
     return pairs.union(met).distinct(), left, [open_, centres]
 
 
@@ -361,11 +364,14 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b), settled, of nodes whose whole sets are as similar. Sets stay where they are while the pairs, and the sets of
     the few nodes on side b, are measured to be small enough to be sent to every executor."""
     pairs = settled(pairs)
-    ends = settled(pairs.select(F.col("b").alias("node")).distinct())
-    of_b = settled(sets.join(sent_if_small(ends), "node", "left_semi").select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("shingles").alias("b_set")))
+    if pairs.isEmpty():
+        return pairs
+    placed = F.broadcast if measured_bytes(pairs) <= SENT_BYTES else lambda df: df
+    ends = pairs.select(F.col("b").alias("node")).distinct()  # no more rows than pairs, and narrower
+    of_b = settled(sets.join(placed(ends), "node", "left_semi").select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("shingles").alias("b_set")))
     of_a = sets.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("shingles").alias("a_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    met = of_a.join(sent_if_small(pairs, SENT_BYTES), "a").join(sent_if_small(of_b, SENT_BYTES), "b")
+    met = of_a.join(placed(pairs), "a").join(sent_if_small(of_b, SENT_BYTES), "b")
     alike = settled(met.filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b"))
     released(pairs, of_b)
     return alike
@@ -381,7 +387,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     to be common last. Of two sets as similar each has one of the other's among its first 1 - ``similarity`` (and one
     more), so sets meet by these; the whole sets are compared where they do. In buckets of over ``few`` sets some are
     compared with all others, and only what this leaves in different components goes to the next round, so a large group
-    of near copies costs what its members cost. Texts without words are one group; null doc_ids take part but name a
+    of near copies costs what its members cost. After a round that links nothing, more of them are compared at once. Texts without words are one group; null doc_ids take part but name a
     component only where it has no other; an empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
@@ -402,12 +408,13 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         released(once, shared)
         firsts = ids.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_first"))
         firsts = settled(firsts.select("_first").distinct())
-        own = texts.join(sent_if_small(firsts), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-        sets = settled(shingle_sets(own, similarity, width, seed, None).select("node", "size", "shingles").join(sent_if_small(wanted), "node", "left_semi"))
+        own = texts.join(sent_if_small(firsts, SENT_BYTES), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+        sets = settled(shingle_sets(own, similarity, width, seed, None).select("node", "size", "shingles").join(sent_if_small(wanted, SENT_BYTES), "node", "left_semi"))
         if sets.count() > wanted.count():  # rows that share a doc_id have the same set
             repeated, sets = sets, settled(sets.dropDuplicates(["node"]))
             released(repeated)
     labelled, turn = settled(ids.groupBy("node").agg(F.min("doc_id").alias("first")).withColumn("component", F.col("node"))), 0
+    parts = CENTRES
 
     def merged(edges: DataFrame) -> None:
         nonlocal labelled, members
@@ -421,14 +428,16 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     if not edges.isEmpty():
         merged(edges)
     while not members.isEmpty():
-        pairs, left, read = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None)
+        pairs, left, read = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None, parts)
         alike = _alike(pairs, sets, similarity)
-        named = [labelled.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-        edges = settled(joined_by(alike, named[1], "b", "inner").join(named[0], "a").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
         before, members, turn = members, settled(left), turn + 1
         released(before, *read)
-        if not edges.isEmpty():
-            merged(edges)
+        if alike.isEmpty():
+            parts *= MORE_CENTRES
+            continue
+        named = [labelled.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
+        edges = settled(joined_by(alike, named[1], "b", "inner").join(named[0], "a").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        merged(edges)
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = joined_by(labelled.select("node", "component"), named, "component", "inner").select("node", "component_id")
     return joined_by(ids, of_node, "node", "inner").select("doc_id", "component_id")
@@ -460,7 +469,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     gone = settled(found.filter(~stands).select(F.col("doc_id").alias("_gone")).distinct())
     again = settled(found.filter(stands).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").cast("string").alias("_text"))
-    kept = given.join(sent_if_small(gone), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = given.join(sent_if_small(gone, SENT_BYTES), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
     if again.isEmpty():
         return kept.select("_row.*")
     twice = F.col("_id").eqNullSafe(F.col("_again"))
