@@ -154,9 +154,10 @@ def joined_by(df: DataFrame, mapping: DataFrame, key: str, how: str = "left") ->
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    hot = counts.filter(F.col("count") > max(df.count() / (4 * parts), 8)).select(key)
-    if hot.isEmpty():
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    if (most or 0) <= max((total or 0) / (4 * parts), 8):
         return df.join(mapping, key, how)
+    hot = counts.filter(F.col("count") > max(total / (4 * parts), 8)).select(key)
     hot = settled(hot)
     known = F.broadcast(mapping.join(F.broadcast(hot), key, "left_semi"))
     there = df.join(F.broadcast(hot), key, "left_semi").join(known, key, how)

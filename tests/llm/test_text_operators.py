@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from freshet.llm import common, decontaminate, line_dedup, quality, simhash, suffix_dedup
+from freshet.llm import common, components, decontaminate, line_dedup, quality, simhash, suffix_dedup
 from freshet.llm.components import connected
 from freshet.llm.common import scratch
 
@@ -168,6 +168,20 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1050), 1000)}
 
 
+def test_components_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(components, "DRIVER_EDGES", 0)
+    test_components_of_chains_and_hubs(spark)
+
+
+def test_components_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 5)
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    reached = brute.components({n for e in edges for n in e}, lambda a, b, near=set(edges): (a, b) in near or (b, a) in near)
+    few = components.stars(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    assert few.count() < 3 * 400 and {r.node: r.component for r in connected(few).collect()} == {n: c for n, c in reached.items() if (n, n) not in edges or list(reached.values()).count(c) > 1}
+
+
 @pytest.mark.parametrize("edits", [0, 1])
 def test_line_dedup(docs, rows, edits):
     found = {r.doc_id: set(r.removed) for r in line_dedup.repeated_lines(docs, edits=edits).collect()}
