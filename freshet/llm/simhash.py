@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, joined_by, measured_bytes, released, sent_if_small, settled, spread
-from .components import connected
+from .components import connected, stars
 from .tokenization import in_parts
 
 BITS = 64
-#: Fingerprints with the same bits in one partition up to which pairs are compared; more of them are linked another way.
-BUCKET_PAIRS = 4096
+#: Fingerprints with the same bits in one partition up to which all pairs are compared at once; more of them are crowded.
+BUCKET_PAIRS = 1024
+#: Of a crowded bucket, how many fingerprints a turn are compared with all others first, how many turns at most, and comparisons
+#: to come for each row up to which these turns end.
+LEADS, LEAD_ROUNDS, ROW_PAIRS = 8, 4, 5000
 #: Shingle sets that share a key up to which all pairs are compared, parts of larger buckets with a centre each at first,
 #: by how many times more there are after a round that linked nothing, and rounds after which all pairs of what is left are compared.
 FEW_SETS, CENTRES, MORE_CENTRES, CENTRE_ROUNDS = 16, 8, 8, 8
@@ -160,85 +163,59 @@ def _flips(bits: tuple[int, ...], most: int) -> Column:
     return F.array(*[F.lit(_signed(c)).cast("long") for k in range(most + 1) for c in combinations(bits, k)])
 
 
-def _star(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges that connect any two of these fingerprints within 2 x ``radius`` bits: both flip to a common word, whose
-    smallest fingerprint the others are linked to. At most one row for each word that a fingerprint flips to."""
-    reach = nodes.select("fp", F.explode(_flips(tuple(range(BITS)), radius)).alias("_flip")).select("fp", F.col("fp").bitwiseXOR(F.col("_flip")).alias("word"))
-    # only words with two fingerprints move on; a word has no more fingerprints than flips
-    least = reach.groupBy("word").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n")).filter("n > 1")
-    ends = least.select(F.col("least").alias("a"), F.col("most").alias("b"))
-    inner = least.filter("n > 2").select("word", "least")
-    more = reach.join(inner, "word").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return ends.union(more).filter("a != b")
+def _index(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """part, key, with the columns of ``nodes``: a row for each partition that is probed."""
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(g)).cast("long")).alias("key")) for i, g in enumerate(plan.parts) if plan.thresholds[i] >= 0])
+    return nodes.select("*", F.explode(keys).alias("_k")).select("_k.part", "_k.key", *nodes.columns)
 
 
-def links(nodes: DataFrame, distance: int, plan: Plan, bucket_pairs: int = BUCKET_PAIRS, exact: bool = True) -> tuple[DataFrame, bool]:
-    """a, b: for each component that has a fingerprint within ``distance`` of another component's, one such component,
-    found by probing each partition and comparing; and whether any fingerprints are crowded. ``nodes`` has fp and component.
+def _crowds(nodes: DataFrame, plan: Plan, bucket_pairs: int) -> DataFrame:
+    """part, key (settled) of the buckets, of fingerprints with the same bits in a partition, that have more than so many."""
+    return settled(_index(nodes, plan).groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_pairs))
 
-    Where more than ``bucket_pairs`` fingerprints of several components share a partition's bits, these are crowded: they
-    are compared with all others, but not with each other. Instead, each is compared with the smallest one that shares
-    its bits; with ``exact``, they are linked through common words (``_star``), which loses no connection. Beyond a
-    distance of 4 such words are too many, and all pairs of a partition's value are compared.
+
+def _met(nodes: DataFrame, distance: int, plan: Plan, crowds: DataFrame | None = None, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """All pairs a, b of fingerprints within ``distance``, by probing each partition and comparing; of different components,
+    where ``nodes`` (fp, component, size) has components of more than one fingerprint.
+
+    The smaller component of a pair probes. In ``crowds`` (part, key, n, top: the largest size and component), whose largest
+    component therefore is only looked up, probes are dealt over as many parts as there are ``bucket_pairs`` fingerprints,
+    and each part has all of the bucket. Without ``top`` these buckets are left out.
     """
-    masks = [F.lit(_signed(g)).cast("long") for g in plan.parts]
-    used = [i for i, t in enumerate(plan.thresholds) if t >= 0]
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(masks[i]).alias("key")) for i in used])
-    nodes, some = nodes.withColumn("crowded", F.lit(False)), False
-    if distance <= 4:
-        index = nodes.select("fp", "component", F.explode(keys).alias("_k")).select("fp", "component", "_k.part", "_k.key")
-        sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("fp", "component")).alias("lead"))
-        crowded = settled(sizes.filter((F.col("n") > bucket_pairs) & (F.col("lo") != F.col("hi"))).select("part", "key", "lead"))
-        some = not crowded.isEmpty()
-    if some:
-        packed = settled(index.join(sent_if_small(crowded), ["part", "key"]))
-        many = packed.select("fp").distinct().withColumn("_crowded", F.lit(True))
-        nodes = settled(nodes.drop("crowded").join(many, "fp", "left").withColumn("crowded", F.coalesce("_crowded", F.lit(False))).drop("_crowded"))
-    side = lambda name: [F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("component", "crowded")]]
-    index = nodes.select(*side("b"), F.explode(keys).alias("_k")).select("*", "_k.part", "_k.key").drop("_k")
+    name = lambda c: [F.col("fp").alias(c), F.struct("size", "component").alias(f"{c}_of")]
+    index = _index(nodes, plan).select("part", "key", *name("b"))
     probes = None
-    for i in used:
-        near = nodes.select(F.lit(i).alias("part"), *side("a"), F.explode(_flips(plan.parts[i], plan.thresholds[i])).alias("_flip"))
-        near = near.withColumn("key", F.col("a").bitwiseAND(masks[i]).bitwiseXOR(F.col("_flip"))).drop("_flip")
-        probes = near if probes is None else probes.union(near)
-
-    def met(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
-        on = (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a_component"] != right["b_component"]) & (F.bit_count(left["a"].bitwiseXOR(right["b"])) <= distance)
-        return left.join(right, on & (left["a"] < right["b"]) if once else on).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
-
-    if not some:
-        return _one_each(met(probes, index, True)), False
-    pairs = met(probes.filter(~F.col("a_crowded")), index, False).union(met(probes.filter("a_crowded"), index.filter(~F.col("b_crowded")), False))
-    if exact:
-        crowd = nodes.filter("crowded")
-        near = _star(crowd, distance // 2) if distance % 2 == 0 else _star(crowd, distance // 2).union(_odd(crowd, distance))
-        of = [crowd.select(F.col("fp").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-        return _one_each(pairs.union(near.join(of[0], "a").join(of[1], "b").select("_a", "_b"))), True
-    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= distance) & (F.col("component") != F.col("lead.component"))
-    return _one_each(pairs.union(packed.filter(close).select("component", "lead.component"))), True
-
-
-def _one_each(pairs: DataFrame) -> DataFrame:
-    """Of all pairs of components, in both directions, the smallest partner of each; pairs are reduced before they move."""
-    both = pairs.filter("a != b").select(F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_p"))
-    return both.groupBy(F.col("_p.a").alias("a")).agg(F.min("_p.b").alias("b"))
-
-
-def _odd(nodes: DataFrame, distance: int) -> DataFrame:
-    """Edges between fingerprints at an odd ``distance``: one flips half of it rounded down, the other rounded up."""
-    flips = _flips(tuple(range(BITS)), distance // 2)
-    near = nodes.select("fp", F.explode(flips).alias("_f")).select("fp", F.col("fp").bitwiseXOR(F.col("_f")).alias("word"))
-    far = near.select(F.col("fp").alias("b"), F.explode(F.transform(F.array(*[F.lit(_signed((k,))).cast("long") for k in range(BITS)]), lambda f: F.col("word").bitwiseXOR(f))).alias("word"))
-    least = near.groupBy("word").agg(F.min("fp").alias("a"))
-    return far.join(least, "word").select("a", "b").union(near.join(least, "word").select("a", F.col("fp").alias("b"))).filter("a != b")
+    for i, t in enumerate(plan.thresholds):
+        if t >= 0:
+            near = nodes.select(F.lit(i).alias("part"), *name("a"), F.explode(_flips(plan.parts[i], t)).alias("_flip"))
+            near = near.select("part", F.col("a").bitwiseAND(F.lit(_signed(plan.parts[i])).cast("long")).bitwiseXOR(F.col("_flip")).alias("key"), "a", "a_of")
+            probes = near if probes is None else probes.union(near)
+    on = ["part", "key"]
+    if crowds is not None and "top" in crowds.columns:
+        dealt = sent_if_small(crowds.select("part", "key", "top", F.ceil(F.col("n") / bucket_pairs).cast("int").alias("_parts")))
+        of = lambda df: df.join(dealt, ["part", "key"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        probes = of(probes).filter(F.col("top").isNull() | (F.col("a_of") < F.col("top"))).select("part", "key", "a", "a_of", F.pmod(F.xxhash64("a"), "_parts").cast("int").alias("_deal"))
+        index = of(index).select("part", "key", "b", "b_of", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_deal"))
+        on = [*on, "_deal"]
+    elif crowds is not None:
+        index = index.join(sent_if_small(crowds.select("part", "key")), on, "left_anti")
+    close = (F.col("a_of") < F.col("b_of")) & (F.col("a_of.component") != F.col("b_of.component")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return probes.join(index, on).filter(close).select("a", "b", F.col("a_of.component").alias("a_component"), F.col("b_of.component").alias("b_component"))
+
+
+def _led(packed: DataFrame, distance: int, turn: int) -> DataFrame:
+    """Pairs a, b within ``distance`` of fingerprints of crowded buckets (part, key, fp) and the bucket's ``LEADS``, other ones each turn."""
+    order = F.xxhash64("fp", F.lit(turn))
+    lead = packed.groupBy("part", "key", F.pmod(order, F.lit(LEADS)).alias("_lead")).agg(F.min_by("fp", order).alias("b")).groupBy("part", "key").agg(F.collect_list("b").alias("leads"))
+    met = packed.join(sent_if_small(settled(lead)), ["part", "key"]).select(F.col("fp").alias("a"), F.explode("leads").alias("b"))
+    return met.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints within ``distance`` bits.
 
-    Equal fingerprints are one node. Each round probes the partitions and keeps one partner of every component that has
-    any, so a large group of near copies costs what its members cost and not its pairs; linked components are contracted,
-    and rounds go on until no two components are linked. After the first round only fingerprints with a partner take part.
+    Equal fingerprints are one node. All pairs of fingerprints that share a probed value are compared, and of large groups
+    of near copies only what a first look at some of them has left apart, so a large group costs what its members cost.
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows are linked by their fingerprint.
     Null doc_ids take part but name a component only where it has no other. An empty table gives no rows; other columns,
     whatever their names, play no part.
@@ -246,39 +223,50 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 5, seed: in
     with arrow_batches(docs.sparkSession, 1000):
         found = settled(fingerprints(docs, width, seed, id_column, text_column))
     nodes = settled(spread(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"))
-    component = fingerprint_components(nodes.select("fp"), distance, bucket_pairs)
-    labelled = settled(nodes.join(component, "fp"))
+    labelled = settled(nodes.join(fingerprint_components(nodes.select("fp"), distance, bucket_pairs), "fp"))
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = joined_by(labelled.select("fp", "component"), named, "component", "inner").select("fp", "component_id")
     return joined_by(found, of_fp, "fp", "inner").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_components(nodes: DataFrame, distance: int, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
-    """fp, component (a fingerprint) of each of these different fingerprints (checkpointed column fp)."""
-    labelled = nodes.select("fp", F.col("fp").alias("component"))
+    """fp, component (a fingerprint) of each of these different fingerprints (checkpointed column fp).
+
+    All pairs of a bucket are compared at once, and each task hands on only the edges that connect what its pairs do. Where
+    buckets are crowded, some of their fingerprints are compared with all of the bucket before that, in a few turns; what is
+    then in the largest component of a bucket is not compared within it.
+    """
+    alone = nodes.select("fp", F.col("fp").alias("component"), F.lit(1).cast("long").alias("size"))
     n, both = bit_counts(nodes)
     if not n:
-        return labelled
-    plan, active, exact = choose_plan(n, both, distance), labelled, False
-    while True:
-        found, crowded = links(active, distance, plan, bucket_pairs, exact)
-        edges = settled(found)
-        if edges.isEmpty():
-            if exact or not crowded:
-                break
-            exact = True  # no crowded fingerprint is within reach of the smallest one with its bits any more
-            continue
-        if active is labelled and not crowded:
-            # a fingerprint without any partner now never gets one
-            active = labelled.join(edges.select(F.col("a").alias("fp")), "fp", "left_semi")
-        joined = settled(connected(edges).select(F.col("node").alias("component"), F.col("component").alias("_joined")))
-        named = joined_by(settled(active), joined, "component")
-        active = settled(spread(named.withColumn("component", F.coalesce("_joined", "component")).drop("_joined"), "fp"))
-        exact = False
-    if active is labelled:
-        return labelled
-    moved = active.select("fp", F.col("component").alias("_moved"))
-    return labelled.join(moved, "fp", "left").select("fp", F.coalesce("_moved", "component").alias("component"))
+        return alone.select("fp", "component")
+    plan = choose_plan(n, both, distance)
+    crowds = _crowds(nodes, plan, bucket_pairs)
+    if crowds.isEmpty():
+        found = connected(stars(_met(alone, distance, plan)))
+        return _renamed(nodes, found)
+    packed = settled(_index(nodes, plan).join(sent_if_small(crowds.select("part", "key")), ["part", "key"]).select("part", "key", "fp"))
+    edges = None
+    for turn in range(LEAD_ROUNDS):
+        more = settled(stars(_led(packed, distance, turn)))
+        edges = more if edges is None else edges.union(more)
+        labelled = settled(_renamed(nodes, connected(edges)))
+        of = packed.join(labelled, "fp").groupBy("part", "key", "component").count().groupBy("part", "key").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+        rows, pairs = of.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()
+        if pairs <= ROW_PAIRS * rows:
+            break
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
+    alone = settled(joined_by(labelled, sizes, "component", "inner").select("fp", "component", "size"))
+    tops = _index(alone, plan).groupBy("part", "key").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top"))
+    tops = settled(tops.filter(F.col("n") > bucket_pairs))
+    met = stars(_met(alone, distance, plan, tops, bucket_pairs).select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    # components are named by fingerprints, so the edges of all turns connect fingerprints
+    return _renamed(nodes, connected(edges.union(met)))
+
+
+def _renamed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """fp, component of all ``nodes`` (fp), of which ``found`` has those that are linked."""
+    return nodes.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def common_shingles(docs: DataFrame, width: int, seed: int) -> np.ndarray:
@@ -451,8 +439,15 @@ def print_pairs(held: DataFrame, distance: int, bucket_pairs: int = BUCKET_PAIRS
     n, both = bit_counts(lead)
     if not n:
         return same
-    nodes = settled(spread(lead.select("fp", F.col("fp").alias("component")), "fp"))
-    near = settled(links(nodes, distance, choose_plan(n, both, distance), bucket_pairs, False)[0])
+    nodes, plan = settled(spread(lead.select("fp", F.col("fp").alias("component"), F.lit(1).alias("size")), "fp")), choose_plan(n, both, distance)
+    crowds = _crowds(nodes, plan, bucket_pairs)
+    if crowds.isEmpty():
+        pairs = _met(nodes, distance, plan).select("a", "b")
+    else:
+        packed = settled(_index(nodes.select("fp"), plan).join(sent_if_small(crowds.select("part", "key")), ["part", "key"]).select("part", "key", "fp"))
+        pairs = _met(nodes, distance, plan, crowds).select("a", "b").union(_led(packed, distance, 0))
+    both_ways = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_p"))
+    near = settled(both_ways.groupBy(F.col("_p.a").alias("a")).agg(F.min("_p.b").alias("b")))
     of = [lead.select(F.col("fp").alias(c), F.col("node").alias(f"_{c}")) for c in "ab"]
     return same.union(joined_by(near, of[1], "b", "inner").join(of[0], "a").select("_a", "_b"))
 

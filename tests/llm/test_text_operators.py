@@ -182,6 +182,40 @@ def test_components_of_tasks(spark, monkeypatch):
     assert few.count() < 3 * 400 and {r.node: r.component for r in connected(few).collect()} == {n: c for n, c in reached.items() if (n, n) not in edges or list(reached.values()).count(c) > 1}
 
 
+def jobs_of(spark, name, action):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_few_jobs_for_groups_of_near_copies(spark):
+    # what a job leaves on the driver (classes, threads, plans, task data) adds up
+    rng = np.random.default_rng(6)
+    seeds = [int(s) for s in rng.integers(0, 1 << 62, 60)]
+    prints = {s ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 5), replace=False)) for s in seeds for _ in range(8)}
+    nodes = common.settled(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    expected = groups_of(brute.components(prints, lambda a, b: (a ^ b).bit_count() <= 4))
+    for bucket, most in ((4096, 25), (2, 80)):
+        got, jobs = jobs_of(spark, f"near-{bucket}", lambda bucket=bucket: simhash.fingerprint_components(nodes, 4, bucket).collect())
+        assert groups_of({r.fp: r.component for r in got}) == expected and jobs <= most
+
+
+def test_crowded_fingerprints_keep_all_components(spark):
+    # 3000 fingerprints with the same bits in all partitions but one, crowded in every one
+    rng = np.random.default_rng(7)
+    prints = sorted({int(x) for x in rng.integers(0, 1 << 16, 3000)})
+    nodes = common.settled(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    got = simhash.fingerprint_components(nodes, 2, 64).collect()
+    held = np.array(prints)
+    apart = np.bitwise_count(held[:, None] ^ held[None, :]) <= 2
+    a, b = np.nonzero(apart)
+    names, least = components.contracted(held[a], held[b])
+    assert groups_of({r.fp: r.component for r in got}) == groups_of(dict(zip(names.tolist(), least.tolist(), strict=True)))
+
+
 @pytest.mark.parametrize("edits", [0, 1])
 def test_line_dedup(docs, rows, edits):
     found = {r.doc_id: set(r.removed) for r in line_dedup.repeated_lines(docs, edits=edits).collect()}
