@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -101,6 +102,13 @@ def released(*tables: DataFrame) -> None:
             discard(df.sparkSession, path.get())
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs that nothing refers to any more; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside hand at most so many rows at once to Python, which bounds the memory that texts take there."""

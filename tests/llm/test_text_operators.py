@@ -296,6 +296,12 @@ def test_jensen_shannon(spark):
     assert abs(got - np.sqrt(divergence)) < 1e-12
 
 
+def test_repeats_move_texts_at_any_size(docs):
+    # a small corpus takes the joins of a large one, so that disk grows as the input does
+    plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("collection", [1, 16_384])
 def test_repeated_strings_in_documents(docs, rows, collection):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, collection=collection).collect()}
