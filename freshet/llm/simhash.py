@@ -10,10 +10,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, joined_by, measured_bytes, released, sent_if_small, settled, spread
+from .common import arrow_batches, freed, joined_by, measured_bytes, released, sent_if_small, settled, spread
 from .components import connected, stars
 from .tokenization import in_parts
 
@@ -349,17 +349,17 @@ def _candidates(members: DataFrame, similarity: float, few: int | None, parts: i
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b), settled, of nodes whose whole sets are as similar. Sets stay where they are while the pairs, and the sets of
-    the few nodes on side b, are measured to be small enough to be sent to every executor."""
-    pairs = settled(pairs)
+    """The pairs (a, b), settled, of nodes whose whole sets are as similar. ``pairs`` is settled and goes. Sets are
+    shuffled to side b at any size, those of side a after the pairs, which are sent to every executor where they are measured to be small enough."""
     if pairs.isEmpty():
         return pairs
     placed = F.broadcast if measured_bytes(pairs) <= SENT_BYTES else lambda df: df
     ends = pairs.select(F.col("b").alias("node")).distinct()  # no more rows than pairs, and narrower
     of_b = settled(sets.join(placed(ends), "node", "left_semi").select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("shingles").alias("b_set")))
+    freed(sets.sparkSession)  # the exchanges that made the pairs, before the sets move
     of_a = sets.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("shingles").alias("a_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    met = of_a.join(placed(pairs), "a").join(sent_if_small(of_b, SENT_BYTES), "b")
+    met = of_a.join(placed(pairs), "a").join(of_b, "b")
     alike = settled(met.filter(both / (F.col("a_size") + F.col("b_size") - both) >= similarity).select("a", "b"))
     released(pairs, of_b)
     return alike
@@ -387,13 +387,15 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         ids = settled(found.select("doc_id", "node"))
         released(found)
         index = once.select("node", "size", "rare", F.posexplode("keys").alias("place", "key"))
-        # a node has a key once, so rows are nodes; counts take less room on the way than nodes
-        shared = settled(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-        members = settled(index.join(sent_if_small(shared, SENT_BYTES), "key", "left_semi").withColumn("component", F.col("node")))
+        # a node has a key once, so rows are nodes; each row moves once, to its key, at any size
+        counted = index.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+        members = settled(counted.filter("n > 1").drop("n").withColumn("component", F.col("node")))
         # sets without a key in common with another have no partner, whatever their fingerprints
         wanted = settled(members.select("node").distinct())
         held = settled(once.select("node", "fp").join(wanted, "node", "left_semi"))
-        released(once, shared)
+        released(once)
+        del index, counted
+        freed(spark)  # the keys' exchange
         firsts = ids.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_first"))
         firsts = settled(firsts.select("_first").distinct())
         own = texts.join(sent_if_small(firsts, SENT_BYTES), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
@@ -412,11 +414,12 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         labelled, members = renamed(labelled), renamed(members)
         released(*before)
 
-    edges = _alike(print_pairs(held.select("node", "fp"), distance), sets, similarity)
+    edges = _alike(settled(print_pairs(held.select("node", "fp"), distance)), sets, similarity)
     if not edges.isEmpty():
         merged(edges)
     while not members.isEmpty():
         pairs, left, read = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None, parts)
+        pairs = settled(pairs)  # nothing refers to its exchanges from here on
         alike = _alike(pairs, sets, similarity)
         before, members, turn = members, settled(left), turn + 1
         released(before, *read)

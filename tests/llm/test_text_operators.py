@@ -162,6 +162,17 @@ def test_one_of_each_links_from_similarity_on(spark, monkeypatch, few):
         assert {r.doc_id for r in simhash.one_of_each(brute.frame(spark, rows)).collect()} == set(expected.values())
 
 
+def test_keys_of_sets_move_at_any_size(docs, monkeypatch):
+    plans = []
+    settle = simhash.settled
+    monkeypatch.setattr(simhash, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    simhash.similar_texts(docs)
+    members = next(p for p in plans if "posexplode(keys" in p)
+    assert "Window" in members and "Join" not in members
+    compared = [p for p in plans if "array_intersect" in p]
+    assert compared and all(p.count("strategy=broadcast") <= 1 for p in compared)  # the pairs, not the sets
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
