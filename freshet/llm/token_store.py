@@ -77,14 +77,13 @@ def _encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     selector = selector.ravel()
     # each block walks its words from its first id; all blocks step together
     here, stops = np.arange(0, n, BLOCK), np.minimum(np.arange(0, n, BLOCK) + BLOCK, n)
-    block, found, of = np.arange(len(here)), [], []
+    block, begins = np.arange(len(here)), np.zeros(n, bool)
     while len(here):
-        found.append(here)
-        of.append(block)
+        begins[here] = True
         here = here + COUNTS[selector[here]]
         left = here < stops[block]
         here, block = here[left], block[left]
-    first = np.sort(np.concatenate(found)) if found else np.zeros(0, int)
+    first = np.flatnonzero(begins)
     chosen = selector[first].astype(int)
     width = np.where(chosen == ESCAPE, 2, 1)
     place = np.cumsum(width) - width
@@ -95,9 +94,9 @@ def _encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words[place[own]] = np.uint64(ESCAPE) << np.uint64(60)
             words[place[own] + 1] = ids[first[own]]
             continue
-        value = np.full(len(own), np.uint64(s) << np.uint64(60))
+        value, at = np.full(len(own), np.uint64(s) << np.uint64(60)), first[own]
         for k in range(COUNTS[s]):
-            value |= ids[first[own] + k] << np.uint64(k * WIDTHS[s])
+            value |= ids[at + k] << np.uint64(k * WIDTHS[s])
         words[place[own]] = value
     return words, place[np.searchsorted(first, np.arange(0, n, BLOCK))]
 
@@ -125,9 +124,9 @@ def decode_words(words: np.ndarray, starts: np.ndarray, n_ids: int, blocks: rang
         if s == ESCAPE:
             ids[place[own]] = words[own + 1]
             continue
-        mask = np.uint64((1 << int(WIDTHS[s])) - 1)
+        mask, at, value = np.uint64((1 << int(WIDTHS[s])) - 1), place[own], words[own]
         for k in range(COUNTS[s]):
-            ids[place[own] + k] = (words[own] >> np.uint64(k * WIDTHS[s])) & mask
+            ids[at + k] = (value >> np.uint64(k * WIDTHS[s])) & mask
     return ids
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterable, Sequence
 
 _TWO_SPACES = re.compile(r"\s\s")
 _POINTS = frozenset(".,;:!?")
+#: Signs of which a run is one pre-token of byte-level BPE; no apostrophe, which begins contractions.
+_SIGNS = "".join(c for c in string.punctuation if c != "'")
 
 
 def byte_characters() -> list[str]:
@@ -115,10 +118,11 @@ class SpacedPieces(Pieces):
     def ids_of(self, piece: str) -> bytes:
         mark = piece[:1] if piece[:1] in ("\0", "\1") else ""
         text = piece[len(mark) :]
-        if len(text) > 1 and text[-1] in _POINTS and latin(text[:-1]):
-            return self[piece[:-1]] + self["\1" + text[-1]]
         if latin(text):
             return (self["\0"] if mark == "\0" else b"") + (self.word(text) if mark else self.spaced(text))
+        letters = text.rstrip(_SIGNS)
+        if len(letters) < len(text) and latin(letters):
+            return self[mark + letters] + self["\1" + text[len(letters) :]]
         return self.whole({"\0": "\n", "\1": ""}.get(mark, " ") + text)
 
     def spaced(self, text: str) -> bytes:

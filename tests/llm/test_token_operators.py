@@ -51,6 +51,15 @@ def test_pieces_of_any_text(text):
         assert pieces.encode([text])[0] == np.array(pieces.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_words_before_runs_of_signs_take_the_short_way():
+    pieces, asked = SpacedPieces(tokenizer_file("byte_bpe_50k.json")), []
+    whole = pieces.whole
+    pieces.whole = lambda text: asked.append(text) or whole(text)
+    text = "horhe.%%% ÜBER!!\nweiß### it's#\" don't'' a\\_^ x'%% -ab.. %%a 9%% ñ$$$ horhe.%%%, ª`~"
+    assert pieces.encode([text])[0] == np.array(pieces.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert ".%%%" in asked and "###" in asked and not any("horhe" in a or "ÜBER" in a or "weiß" in a for a in asked)
+
+
 made = [WordPieces(tokenizer_file("word_bpe_49k.json")), SpacedPieces(tokenizer_file("byte_bpe_50k.json"))]
 
 
