@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -104,9 +105,12 @@ def released(*tables: DataFrame) -> None:
 
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs that nothing refers to any more; else they stay until the
-    driver happens to collect its garbage."""
+    driver happens to collect its garbage. One round right after Python has given its tables up finds them still in use,
+    so there is a second one a moment later."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 @contextmanager

@@ -307,6 +307,17 @@ def test_jensen_shannon(spark):
     assert abs(got - np.sqrt(divergence)) < 1e-12
 
 
+def test_exchanges_of_settled_tables_are_deleted(spark):
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    common.freed(spark)
+    time.sleep(0.5)
+    before, made = known.size(), common.settled(spark.range(50).repartition(3, "id"))
+    assert known.size() > before
+    common.freed(spark)
+    time.sleep(0.5)
+    assert known.size() <= before and made.count() == 50
+
+
 def test_repeats_move_texts_at_any_size(docs):
     # a small corpus takes the joins of a large one, so that disk grows as the input does
     plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
