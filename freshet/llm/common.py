@@ -95,6 +95,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled_alone(df: DataFrame) -> DataFrame:
+    """``settled``, and the exchanges that made the rows are deleted at once, without waiting for the garbage collection;
+    those under a broadcast wait for it.
+    No other query may use this very ``df``; tables made from it, or that it was made from, have exchanges of their own."""
+    found = settled(df)
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    left = [df._jdf.queryExecution().toRdd()] if cleaner.isDefined() else []
+    while left:
+        dependencies = left.pop().dependencies()
+        for dependency in (dependencies.apply(i) for i in range(dependencies.size())):
+            if dependency.getClass().getSimpleName() == "ShuffleDependency":
+                cleaner.get().doCleanupShuffle(dependency.shuffleId(), True)
+            left.append(dependency.rdd())
+    return found
+
+
 def released(*tables: DataFrame) -> None:
     """Deletes the files of ``settled`` tables of which everything that was made from them is settled itself."""
     for df in tables:

@@ -318,6 +318,15 @@ def test_exchanges_of_settled_tables_are_deleted(spark):
     assert known.size() <= before and made.count() == 50
 
 
+def test_exchanges_are_deleted_at_once(spark):
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    common.freed(spark)
+    time.sleep(0.5)
+    before, base = known.size(), spark.range(50).repartition(3, "id")
+    made = common.settled_alone(base.groupBy((base.id % 3).alias("k")).count())
+    assert known.size() <= before and made.count() == 3
+
+
 def test_repeats_move_texts_at_any_size(docs):
     # a small corpus takes the joins of a large one, so that disk grows as the input does
     plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
