@@ -30,6 +30,8 @@ FEW_SETS, CENTRES, MORE_CENTRES, CENTRE_ROUNDS = 16, 8, 8, 8
 COMMON_SHINGLES = 100_000
 #: Measured bytes of keys and sets that are sent to every executor at most. As a hash table on the driver, keys take several times that.
 SENT_BYTES = 16_000_000
+#: Counts, of a byte each, by which sets are compared before they move.
+COARSE = 256
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> list[int]:
@@ -348,9 +350,49 @@ def _candidates(members: DataFrame, similarity: float, few: int | None, parts: i
     return pairs.union(met).distinct(), left, [open_, centres]
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b), settled, of nodes whose whole sets are as similar. ``pairs`` is settled and goes. Sets are
-    shuffled to side b at any size, those of side a after the pairs, which are sent to every executor where they are measured to be small enough."""
+def coarse_counts(sets: DataFrame) -> DataFrame:
+    """node, size and counts: how many shingles of the set have each value in their lowest bits, 255 at most, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = rows * COARSE + (lists.flatten().to_numpy() & (COARSE - 1))
+            counts = np.minimum(np.bincount(flat, minlength=batch.num_rows * COARSE), 255).astype(np.uint8).reshape(-1, COARSE)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "size", "counts"])
+
+    return sets.select("node", "size", "shingles").mapInArrow(run, "node long, size int, counts binary")
+
+
+def may_be_alike(pairs: DataFrame, coarse: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes but those whose ``coarse_counts`` differ by more than sets as similar can.
+
+    Counts of two sets differ by as many as the shingles that one of them has alone, or fewer, and of sets as similar these
+    are at most (1 - ``similarity``) / (1 + ``similarity``) of both sizes. So no pair is lost, and of a pair a row of few bytes moves.
+    """
+    placed = F.broadcast if measured_bytes(pairs) <= SENT_BYTES else lambda df: df
+    of = lambda name: coarse.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("counts").alias(f"{name}_counts"))
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COARSE).astype(np.int16) for c in ("a_counts", "b_counts")]
+            differ = np.abs(counts[0] - counts[1]).sum(axis=1, dtype=np.int64)
+            sizes = sum(batch.column(c).to_numpy().astype(np.int64) for c in ("a_size", "b_size"))
+            yield batch.select(["a", "b"]).filter(pa.array(differ <= most * sizes + 1e-6))
+
+    met = of("a").join(placed(pairs), "a").join(of("b"), "b")
+    return met.select("a", "b", "a_size", "b_size", "a_counts", "b_counts").mapInArrow(run, "a long, b long")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, coarse: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), settled, of nodes whose whole sets are as similar. ``pairs`` is settled and goes. Sets move only for
+    pairs that ``may_be_alike``: to side b at any size, those of side a after the pairs, which are sent to every executor
+    where they are measured to be small enough."""
+    if pairs.isEmpty():
+        return pairs
+    met, pairs = pairs, settled(may_be_alike(pairs, coarse, similarity))
+    released(met)
     if pairs.isEmpty():
         return pairs
     placed = F.broadcast if measured_bytes(pairs) <= SENT_BYTES else lambda df: df
@@ -403,6 +445,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         if sets.count() > wanted.count():  # rows that share a doc_id have the same set
             repeated, sets = sets, settled(sets.dropDuplicates(["node"]))
             released(repeated)
+        coarse = settled(coarse_counts(sets))
     labelled, turn = settled(ids.groupBy("node").agg(F.min("doc_id").alias("first")).withColumn("component", F.col("node"))), 0
     parts = CENTRES
 
@@ -414,13 +457,13 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         labelled, members = renamed(labelled), renamed(members)
         released(*before)
 
-    edges = _alike(settled(print_pairs(held.select("node", "fp"), distance)), sets, similarity)
+    edges = _alike(settled(print_pairs(held.select("node", "fp"), distance)), sets, coarse, similarity)
     if not edges.isEmpty():
         merged(edges)
     while not members.isEmpty():
         pairs, left, read = _candidates(members, similarity, few if turn < CENTRE_ROUNDS else None, parts)
         pairs = settled(pairs)  # nothing refers to its exchanges from here on
-        alike = _alike(pairs, sets, similarity)
+        alike = _alike(pairs, sets, coarse, similarity)
         before, members, turn = members, settled(left), turn + 1
         released(before, *read)
         if alike.isEmpty():

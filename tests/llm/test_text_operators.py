@@ -267,6 +267,41 @@ def test_line_dedup_of_rows_that_share_a_doc_id(spark):
     assert sorted(x.text for x in line_dedup.dedup_lines(brute.frame(spark, twice)).collect()) == sorted([p, p, q])
 
 
+def test_keep_good_stores_no_texts(spark, tmp_path):
+    import random
+    from pathlib import Path
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(quality.COMMON_WORDS["en"]) if k % 3 else f"{rng.getrandbits(60):x}" for k in range(900)), "en", "s", 0) for i in range(40)]
+    rows += [(50, "too short", "en", "s", 0), (51, None, "en", "s", 0), (52, "", None, "s", 0), (53, rows[0][1], None, "s", 0), (54, rows[0][1], "en", "s", 0)]
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    stored = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = stored()
+    kept = quality.keep_good(brute.frame(spark, rows).repartition(3))
+    assert stored() - before < sum(len(r[1] or "") for r in rows) / 8
+    judged = quality.judge(brute.frame(spark, rows)).filter("quality.kept").select("_row.*").collect()
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, judged)) and {0, 54} <= {r.doc_id for r in judged} and not {50, 51, 52} & {r.doc_id for r in judged}
+
+
+def test_coarse_counts_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(8)
+    sets = [{rng.getrandbits(32) for _ in range(n)} for n in (1, 2, 9, 300, 300, 1000, 3000, 90_000)]
+    for s in sets[:7]:
+        for share in (0.02, 0.1, 0.11, 0.12, 0.3):  # on either side of the bound, by both shingles lost and shingles changed
+            gone = set(rng.sample(sorted(s), round(share * len(s))))
+            sets += [s - gone | {rng.getrandbits(32)}, s - gone | {rng.getrandbits(32) for _ in gone}]
+    sets = [np.array(sorted(s), np.uint32).view(np.int32).tolist() for s in sets]
+    frame = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "node long, size int, shingles array<int>").repartition(3)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    coarse = common.settled(simhash.coarse_counts(frame))
+    got = {tuple(r) for r in simhash.may_be_alike(common.settled(spark.createDataFrame(pairs, "a long, b long")), coarse, 0.8).collect()}
+    alike = {(a, b) for a, b in pairs if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert alike <= got and len(alike) > 20
+    assert not {(4, 3), (5, 3), (6, 5)} & got  # no shingle in common
+
+
 def test_quality_counts(docs, rows, spark, wide):
     junk = [(900, "a b c d e f g " * 40, "en", None, 0), (901, "x y z w v x y z w v x", "en", None, 0), (902, "q\nq\n\n \nr\nq" + " z" * 4, "en", None, 0)]
     every = rows + junk
